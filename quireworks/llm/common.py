@@ -69,3 +69,25 @@ def key_of(column: str = "doc_id") -> Column:
 def text_bytes(column: str = "text") -> Column:
     """UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
+
+
+#: A bitmap of keys has so many bits, whatever the number of keys; in blocks of 32,768 bits (4 KiB).
+BITMAP_BITS, BLOCK_BITS = 1 << 23, 32_768
+
+
+def mark_possible(rows: DataFrame, keys: DataFrame, on: list[str], name: str) -> DataFrame:
+    """``rows`` with the flag ``name``: false only where ``keys`` surely holds no equal ``on``.
+
+    The keys become a bitmap of fixed size (1 MiB), which alone is broadcast.
+    The flag saves shuffling what no key can match; more keys than the bitmap
+    tells apart only make it less selective, never wrong.
+    """
+    at = F.pmod(F.xxhash64(*on), F.lit(BITMAP_BITS))
+    blocks = keys.select(at.alias("_at")).groupBy((F.expr(f"_at div {BLOCK_BITS}")).alias("_block")).agg(
+        F.bitmap_construct_agg(F.expr(f"_at % {BLOCK_BITS}")).alias("_bits"))
+    rows = rows.withColumn("_at", at).withColumn("_block", F.expr(f"_at div {BLOCK_BITS}"))
+    rows = rows.join(F.broadcast(blocks), "_block", "left")
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast((_at % {BLOCK_BITS}) div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    bit = F.expr("shiftright(_byte, cast(_at % 8 as int)) & 1")
+    rows = rows.withColumn("_byte", byte).withColumn(name, F.coalesce(bit == 1, F.lit(False)))
+    return rows.drop("_at", "_block", "_bits", "_byte")

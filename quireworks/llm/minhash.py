@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, Workspace, key_of, text_bytes
+from .common import NULL_KEY, Workspace, key_of, mark_possible, text_bytes
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -245,8 +245,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     members = ws.save(banded.join(several.drop("n"), ["band", "key"]), "members")
     ids = members.select("rep").distinct()
     # representatives' texts that any bucket holds, once
-    held = reps.join(ids, "rep", "left_semi").select("k", "text_hash", "rep")
-    texts = ws.save(hashed.join(held, ["k", "text_hash"]).dropDuplicates(["rep"]).select("rep", "b"), "texts")
+    held = ws.save(reps.join(ids, "rep", "left_semi").select("k", "text_hash", "rep"), "held")
+    maybe = mark_possible(hashed, held, ["k", "text_hash"], "maybe").filter("maybe").drop("maybe")
+    texts = ws.save(maybe.join(held, ["k", "text_hash"]).dropDuplicates(["rep"]).select("rep", "b"), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Links among ``pairs`` (a, b)."""

@@ -30,9 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, Workspace, key_of, text_bytes
+from .common import NULL_KEY, Workspace, key_of, mark_possible, text_bytes
 
 THRESHOLD, DIGIT, BLOCK = 400, 100, 12
+#: Keeps seeds positive: no block lies so many blocks behind its anchor.
+FAR = 1 << 20
 #: Bytes of a text that one pass hashes at a time; windows do not stop at its edges.
 STEP = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -135,9 +137,12 @@ def cut_blocks(texts: DataFrame, threshold: int) -> DataFrame:
                 for j in range((pos - hi) // BLOCK, (pos - lo) // BLOCK + 1):
                     b = pos - j * BLOCK
                     a = b - BLOCK + 1
-                    # the text's edges may cut windows off; what is cut is part of the digit
+                    # the text's edges may cut windows off; what is cut is part of the digit, and so is the
+                    # distance to the anchor: blocks of two anchors may be one place of the text
                     x, y = max(a, 0), min(b, last)
-                    yield k, h, max(a, lo), min(b, hi), pos, digest(text[b : a + threshold]), digest(text[x : y + threshold], seed=(x - a) * BLOCK + b - y), done
+                    core = digest(text[b : a + threshold], seed=j + FAR)
+                    span = digest(text[x : y + threshold], seed=((j + FAR) * BLOCK + x - a) * BLOCK + b - y)
+                    yield k, h, max(a, lo), min(b, hi), pos, core, span, done
 
     return texts.filter("marks is not null").select("k", "h", "b", "marks").mapInPandas(lambda it: _frames(rows(it), BLOCKS), BLOCKS)
 
@@ -182,8 +187,10 @@ def repeated_spans(docs: DataFrame, ws: Workspace, threshold: int = THRESHOLD, d
     marks = kinds.groupBy("k", "h").agg(F.collect_list(F.struct("lo", "hi", "pos", "done")).alias("marks"))
     need = settled.select("k", "h").distinct().join(marks, ["k", "h"], "full")
     # texts pass one shuffle; those without a shared anchor end here
-    texts = ws.save(docs.join(need, ["k", "h"]), "texts")
-    ws.drop(kinds)
+    need = ws.save(need, "need")
+    maybe = mark_possible(docs, need, ["k", "h"], "maybe").filter("maybe").drop("maybe")
+    texts = ws.save(maybe.join(need, ["k", "h"]), "texts")
+    ws.drop(kinds, need)
     blocks = ws.save(cut_blocks(texts, threshold), "blocks")
     whole, kinds = _settle(blocks, "core", "span")
     in_blocks = blocks.filter("not done").join(whole, ["core", "span"], "left_semi").select("k", "h", "lo", "hi")
