@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, text_bytes
+from .common import Workspace, mark_possible, text_bytes
 
 FIRST_WIDTH, GROWTH = 64, 8
 
@@ -46,6 +46,8 @@ def exact_classes(docs: DataFrame, carry: list[Column] | None = None, id_col: st
         count = now.groupBy(*keys, "digit").agg(F.count(F.lit(1)).alias("size"), F.max("id").alias("g"))
         # written before it is used: the numbers of the groups must not change when a task runs again
         count = ws.save(count.filter("size > 1").withColumn("next", F.monotonically_increasing_id()), f"groups{depth}")
+        if not depth:  # texts that are surely alone are left behind
+            now = mark_possible(now, count, [*keys, "digit"], "maybe").withColumn("b", F.when(F.col("maybe"), F.col("b"))).drop("maybe")
         joined = now.join(count, [*keys, "digit"], "left")
         ended = F.col("size").isNull() | (F.col("n") <= depth + width)
         joined = joined.select("id", "extra", "n", "size", "g", F.col("next").alias("group"), ended.alias("ended"), F.when(~ended, F.col("b")).alias("b"))
