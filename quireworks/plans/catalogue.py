@@ -7,6 +7,7 @@ with the same columns, written against the tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,14 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..functions import text as T
 from ..functions.geometry import f
+from ..operators import compose as C
+from ..operators import markup as M
 from ..operators import pages as P
 from ..operators import raster as R
+from ..operators import sequences as Q
 from ..operators import spans as S
+from ..operators.markdown import markdown_to_xhtml
+from ..sources import archive
 from . import duck as D
 from . import views as V
 
@@ -481,3 +487,99 @@ def asset_lookup(spark, sf_dir):
     found = F.regexp_extract_all("html", F.lit('(?:href|src)="([^"]*)"'), F.lit(1))
     links = _pages(spark, sf_dir).select("page_id", F.posexplode(found).alias("k", "src")).withColumn("k", F.col("k").cast("long"))
     return P.resolve_assets(links, _pages(spark, sf_dir).select(F.col("url").alias("href")).distinct()).select("page_id", "k", "href", "found")
+
+
+# operators that read a page in order: checked by brute force and by hand-made cases in the tests ------
+
+def _span_pages(spark, sf_dir):
+    return _equation_spans(spark, sf_dir)
+
+
+@query()
+def title_reconstruct(spark, sf_dir):
+    return Q.titles(V.spans(spark, sf_dir))
+
+
+@query()
+def centre_components(spark, sf_dir):
+    return Q.page_components(V.spans(spark, sf_dir))
+
+
+@query()
+def run_in_headings(spark, sf_dir):
+    return Q.page_run_in_headings(_span_pages(spark, sf_dir))
+
+
+@query()
+def split_headings(spark, sf_dir):
+    return Q.page_split_headings(V.spans(spark, sf_dir))
+
+
+@query()
+def unnumbered_equations(spark, sf_dir):
+    return Q.page_equations(_span_pages(spark, sf_dir))
+
+
+@query()
+def graphic_components(spark, sf_dir):
+    return Q.page_graphics(V.spans(spark, sf_dir))
+
+
+@query()
+def visual_regions(spark, sf_dir):
+    return Q.page_regions(V.spans(spark, sf_dir))
+
+
+@query()
+def markdown_xhtml(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", M.as_column(markdown_to_xhtml)(F.col("text")).alias("xhtml"))
+
+
+@query()
+def algorithm_blocks(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", M.as_column(M.algorithm_blocks)(F.col("html")).alias("html"))
+
+
+@query()
+def promoted_headings(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", M.as_column(M.promote_run_in_headings)(F.col("html")).alias("html"))
+
+
+@query()
+def demoted_headings(spark, sf_dir):
+    demote = M.as_column(lambda html, text: M.demote_heading(html, 1, text))
+    return _pages(spark, sf_dir).select("page_id", demote(F.col("html"), F.coalesce(T.first_heading(F.col("html")), F.lit(""))).alias("html"))
+
+
+@query()
+def language_tags(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", M.as_column(M.language_or_default)(F.col("lang")).alias("tag"))
+
+
+@query()
+def sanitized_previews(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", M.as_column(lambda html: M.sanitize_preview(html, {}))(F.col("html")).alias("html"))
+
+
+DEVICE = C.Options(width=360, height=480, margin=12, dpi=120, font_size=6.0, max_pixels=512_000_000)
+
+
+@query()
+def reflow_pages(spark, sf_dir):
+    pages = C.compose_documents(C.rasterize(V.runs(spark, sf_dir)), DEVICE)
+    return pages.select("doc_id", "number", "width", "height", F.md5("pixels").alias("pixels"), "error")
+
+
+@query()
+def raster_documents(spark, sf_dir):
+    pages = C.compose_documents(C.rasterize(V.runs(spark, sf_dir)), replace(DEVICE, mode=C.FIT_WIDTH))
+    return archive.package_rasters(pages, DEVICE.dpi).select("doc_id", "output_pages", F.length("content").alias("n_bytes"), "error")
+
+
+@query()
+def package_books(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    html = M.as_column(markdown_to_xhtml)(F.coalesce("text", F.lit("")))
+    pages = docs.withColumn("html", html).select(
+        "doc_id", F.lit(1).alias("number"), F.coalesce(T.first_heading(F.col("html")), F.lit("Page 1")).alias("title"), "html", T.has_text(F.col("html")).alias("has_text"))
+    return archive.package_books(pages).select("doc_id", "source_pages", "text_pages", F.length("content").alias("n_bytes"), "error")

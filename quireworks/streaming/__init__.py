@@ -1 +1 @@
-"""Document-layout streaming."""
+"""Structured Streaming: the page composer as a stateful operator."""
