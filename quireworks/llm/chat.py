@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import Workspace
+
 START, END = "<|im_start|>", "<|im_end|>"
 SEGMENT = "array<struct<text:string,loss:boolean>>"
 
@@ -58,21 +60,22 @@ def branch_paths(messages: DataFrame, top_k: int = 1) -> DataFrame:
     A parent that is not there makes its message a root.  Messages on a cycle
     have no leaf and are left out.  node_id must be unique in a conversation and not null.
     """
+    ws = Workspace(messages.sparkSession, "paths")
     base = messages.select("conv_id", "node_id", "parent_id", F.coalesce("score", F.lit(0.0)).cast("double").alias("own"))
     parent = base.select(F.col("conv_id").alias("c"), F.col("node_id").alias("p"))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    state = base.join(parent, same("conv_id", "c") & (F.col("parent_id") == F.col("p")), "left").select(
-        "conv_id", "node_id", F.col("p").alias("up"), F.lit(1).cast("long").alias("steps"), F.col("own").alias("sum")).checkpoint()
+    state = ws.save(base.join(parent, same("conv_id", "c") & (F.col("parent_id") == F.col("p")), "left").select(
+        "conv_id", "node_id", F.col("p").alias("up"), F.lit(1).cast("long").alias("steps"), F.col("own").alias("sum")), "step0")
     jumps, most = [], state.count().bit_length() + 1
-    leaves = state.join(
+    leaves = ws.save(state.join(
         state.filter("up is not null").select(F.col("conv_id").alias("c"), F.col("up").alias("u")).distinct(),
-        same("conv_id", "c") & (F.col("node_id") == F.col("u")), "left_anti").select("conv_id", "node_id").checkpoint()
+        same("conv_id", "c") & (F.col("node_id") == F.col("u")), "left_anti").select("conv_id", "node_id"), "leaves")
     while len(jumps) < most and not state.filter("up is not null").isEmpty():
         jumps.append(state.filter("up is not null").select("conv_id", "node_id", "up"))
         above = state.select(F.col("conv_id").alias("c"), F.col("node_id").alias("a"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("sum").alias("sum2"))
-        state = state.join(above, same("conv_id", "c") & (F.col("up") == F.col("a")), "left").select(
+        state = ws.save(state.join(above, same("conv_id", "c") & (F.col("up") == F.col("a")), "left").select(
             "conv_id", "node_id", F.col("up2").alias("up"),
-            (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum")).checkpoint()
+            (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum")), f"step{len(jumps)}")
     depth = state.filter("up is null").select("conv_id", "node_id", F.col("steps").alias("depth"), F.col("sum").alias("score"))
     tips = depth.join(leaves.select(F.col("conv_id").alias("c"), F.col("node_id").alias("l")), same("conv_id", "c") & (F.col("node_id") == F.col("l"))).drop("c", "l")
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "node_id"))
@@ -84,7 +87,7 @@ def branch_paths(messages: DataFrame, top_k: int = 1) -> DataFrame:
             "conv_id", "leaf_id", "rank", "score", F.col("up").alias("node_id"), (F.col("depth") - 2**k).alias("depth"))
         path = path.unionByName(more)
         if k % 4 == 0:
-            path = path.checkpoint()
+            path = ws.save(path, f"path{k}")
     return path
 
 

@@ -30,10 +30,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    more = spark.createDataFrame([(-1, 0, "user", ESCAPING), (-1, 1, "assistant", ESCAPING)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(ESCAPING).alias("text"))
     messages = chat.chain(turns.unionByName(more))
     # the numbers of the turns are used in several joins: they are fixed first
-    messages = messages.checkpoint()
+    messages = Workspace(spark, "op4").save(messages, "messages")
     out = chat.format_paths(messages, chat.branch_paths(messages))
     out = out.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
