@@ -299,13 +299,12 @@ def isolated_formulas(spark, sf_dir):
     return S.isolation(boxes, spans).select("doc_id", "page_index", "box_index", "isolated")
 
 
-_TOKEN = "upper(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g'))"
+_TOKEN = "upper(replace(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g'), 'ß', 'SS'))"
 
 
-@query(f"{V.duck('v_spans')}SELECT doc_id, page_index, {_TOKEN} AS token, count(*) AS n_anchors, min(span_index) AS first_span FROM v_spans WHERE {_TOKEN} <> '' AND NOT contains(text, 'ß') GROUP BY ALL HAVING count(*) <= 8")
+@query(f"{V.duck('v_spans')}SELECT doc_id, page_index, {_TOKEN} AS token, count(*) AS n_anchors, min(span_index) AS first_span FROM v_spans WHERE {_TOKEN} <> '' GROUP BY ALL HAVING count(*) <= 8")
 def anchor_index(spark, sf_dir):
-    # upper-casing of ß differs between the engines, so the query leaves such spans to both sides' filter
-    return S.anchor_tokens(V.spans(spark, sf_dir).filter(~F.col("text").contains("ß")))
+    return S.anchor_tokens(V.spans(spark, sf_dir))
 
 
 _LINES = "list_transform(list_filter(regexp_split_to_array(text, '[ ]+'), lambda z: z <> ''), lambda z: z)"
