@@ -61,6 +61,24 @@ def count_words(train: DataFrame) -> DataFrame:
     return train.select("b").mapInPandas(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(vocabulary: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """Words by falling count, ``most`` at most: those above a count that a histogram of counts gives.
+
+    The histogram has 64 steps for each doubling, so the driver gets a few
+    thousand numbers and then the words themselves, whatever the vocabulary.
+    """
+    step = F.floor(F.log2("n") * 64).cast("long")
+    sizes = {r["step"]: r["words"] for r in vocabulary.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()}
+    taken, cut = 0, None
+    for key in sorted(sizes, reverse=True):
+        if taken + sizes[key] > most:
+            break
+        taken, cut = taken + sizes[key], key
+    if cut is None:
+        return []
+    return sorted(((bytes(r["word"]), r["n"]) for r in vocabulary.filter(step >= cut).collect()), key=lambda w: (-w[1], w[0]))
+
+
 class Exchange:
     """Exchange clustering of words by their bigram counts (Kneser and Ney; Martin, Liermann and Ney)."""
 
@@ -249,8 +267,7 @@ def score_texts(docs: DataFrame, core: int = CORE, clustered: int = CLUSTERED, d
     total = vocabulary.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = rows.filter("not held_out").count()
     n_tokens, v = (total["n"] or 0) + ends, total["v"] + (ends > 0)
-    # at most `dictionary` words reach the driver and the tasks
-    top = [(bytes(r["word"]), r["n"]) for r in vocabulary.orderBy(F.desc("n"), "word").limit(dictionary).collect()]
+    top = frequent_words(vocabulary, dictionary)
     clustered = min(clustered, len(top), RARE - 1)
     core, edge = min(core, clustered), RARE - 1
     code = lambda i: i if i < clustered else RARE
