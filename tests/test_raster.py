@@ -221,3 +221,39 @@ def test_documents_are_read(spark, tmp_path):
 def test_raster_documents_have_a_limit():
     with pytest.raises(archive.TooLarge):
         archive.compress_pages([random_page(1)], 10)
+
+
+def test_files_become_books(spark, tmp_path):
+    from quireworks.operators import convert
+
+    (tmp_path / "a.pdf").write_bytes(synthetic(4))
+    (tmp_path / "b.pdf").write_bytes(b"%PDF-not-a-document")
+    got = {r["path"].rsplit("/", 1)[1]: r for r in convert.convert_books(spark, f"file://{tmp_path}", "A title", "de").collect()}
+    assert got["b.pdf"]["error"] and got["b.pdf"]["content"] is None
+    assert got["a.pdf"]["source_pages"] == 4 and got["a.pdf"]["error"] is None
+    with zipfile.ZipFile(io.BytesIO(bytes(got["a.pdf"]["content"]))) as z:
+        assert len([n for n in z.namelist() if n.startswith("book/text/")]) == 4
+        for name in z.namelist():
+            if name.endswith((".xhtml", ".opf")):
+                minidom.parseString(z.read(name))
+
+
+def test_raster_files_are_composed_again(spark, tmp_path):
+    from quireworks.operators import convert
+
+    pages = [random_page(1), random_page(2)]
+    (tmp_path / "c.pdf").write_bytes(archive.raster_document(archive.compress_pages(pages), 72))
+    got = C.compose_documents(convert.page_rasters(spark, f"file://{tmp_path}"), SMALL).orderBy("number").collect()
+    assert [bytes(r["pixels"]) for r in got] == [p.tobytes() for p in C.iter_pages(iter(pages), SMALL)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quireworks.__main__ import main, output_path, resolve_format
+
+    path = tmp_path / "in.pdf"
+    path.write_bytes(synthetic(1))
+    assert resolve_format(None, None) == "epub" and resolve_format(None, path) == "pdf" and resolve_format("epub", path) == "epub"
+    assert output_path(path, "epub").name == "in.quireworks.epub"
+    assert main([str(path)]) == 0 and main([str(path)]) == 1 and main([str(path), "--force"]) == 0
+    path.write_bytes(b"%PDF-x")
+    assert main([str(path), "--force"]) == 1
