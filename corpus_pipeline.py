@@ -13,7 +13,7 @@ from quireworks.llm.common import Workspace, table
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the trees reject go."""
     model = quality.fit_model(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, model).filter("verdict.kept").drop("verdict")
+    return quality.judge(docs, model).filter("verdict.kept").select(docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

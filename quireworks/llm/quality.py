@@ -191,7 +191,7 @@ VERDICT = ", ".join([*(f"{c} long" for c in COUNTS), "poor double"])
 
 
 def judge(docs: DataFrame, model: Trees | None) -> DataFrame:
-    """``docs`` with ``verdict`` (struct of COUNTS, poor, base_failed, kept); rows and columns stay.
+    """``docs`` with ``verdict`` (struct of COUNTS, poor, base_failed, kept); rows and columns stay, but for a column of that name.
 
     A document fails the base rule with under 50 words, or if more than half of
     its words lie in 3-word windows found twice or more.  Else it goes if the
