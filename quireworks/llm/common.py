@@ -50,6 +50,8 @@ class Workspace:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         df.write.parquet(path)
+        # what was shuffled for this table is not read again: collecting the driver's garbage lets Spark delete it
+        self.spark._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         out.saved_path = path
         return out
@@ -91,3 +93,11 @@ def mark_possible(rows: DataFrame, keys: DataFrame, on: list[str], name: str) ->
     bit = F.expr("shiftright(_byte, cast(_at % 8 as int)) & 1")
     rows = rows.withColumn("_byte", byte).withColumn(name, F.coalesce(bit == 1, F.lit(False)))
     return rows.drop("_at", "_block", "_bits", "_byte")
+
+
+def matching(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``rows`` with an equal ``on`` in ``keys``; the bitmap keeps most others out of the shuffle.
+
+    ``keys`` is read twice; give a written table.
+    """
+    return mark_possible(rows, keys, on, "_maybe").filter("_maybe").drop("_maybe").join(keys, on, "left_semi")

@@ -30,9 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, Workspace, key_of, mark_possible, text_bytes
+from .common import NULL_KEY, Workspace, key_of, mark_possible, matching, text_bytes
 
-THRESHOLD, DIGIT, BLOCK = 400, 100, 12
+THRESHOLD, DIGIT, BLOCK = 400, 48, 24
 #: Keeps seeds positive: no block lies so many blocks behind its anchor.
 FAR = 1 << 20
 #: Bytes of a text that one pass hashes at a time; windows do not stop at its edges.
@@ -95,7 +95,7 @@ class Anchors:
 
 
 ANCHOR = "k long, h long, lo long, hi long, pos long, d1 long, d2 binary"
-BLOCKS = "k long, h long, lo long, hi long, pos long, core binary, span binary, done boolean"
+BLOCKS = "k long, h long, lo long, hi long, pos long, core long, span binary, done boolean"
 WINDOWS = "k long, h long, lo long, w binary, open boolean"
 FLUSH = 200_000
 
@@ -140,7 +140,7 @@ def cut_blocks(texts: DataFrame, threshold: int) -> DataFrame:
                     # the text's edges may cut windows off; what is cut is part of the digit, and so is the
                     # distance to the anchor: blocks of two anchors may be one place of the text
                     x, y = max(a, 0), min(b, last)
-                    core = digest(text[b : a + threshold], seed=j + FAR)
+                    core = xxhash.xxh3_64_intdigest(text[b : a + threshold], seed=j + FAR) - 2**63
                     span = digest(text[x : y + threshold], seed=((j + FAR) * BLOCK + x - a) * BLOCK + b - y)
                     yield k, h, max(a, lo), min(b, hi), pos, core, span, done
 
@@ -157,16 +157,35 @@ def cut_windows(texts: DataFrame, threshold: int) -> DataFrame:
     return texts.mapInPandas(lambda it: _frames(rows(it), WINDOWS), WINDOWS)
 
 
-def _settle(rows: DataFrame, outer: str, inner: str) -> tuple[DataFrame, DataFrame]:
-    """Of a pass: digits ``inner`` that repeat, and one row of each digit of the ``outer`` buckets that hold several."""
-    groups = rows.groupBy(outer, inner).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "h", "lo", "hi", "pos")).alias("one"))
-    several = groups.groupBy(outer).agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(outer)
-    return groups.filter("n > 1").select(outer, inner), groups.join(several, outer, "left_semi").select("one.*", "n", outer, inner)
+def _settle(rows: DataFrame, outer: str, inner: str, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Of a pass: digits ``inner`` that repeat, and one row of each digit of the ``outer`` buckets that hold several.
+
+    ``n`` counts the digit's rows; a digit's one row is itself, with its ``done``.
+    """
+    groups = rows.groupBy(outer, inner).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "h", "lo", "hi", "pos", "done")).alias("one"))
+    groups = ws.save(groups, "groups")
+    several = ws.save(groups.groupBy(outer).agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(outer), "several")
+    kinds = ws.save(matching(groups, several, [outer]).select("one.*", "n"), "kinds")
+    whole = ws.save(groups.filter("n > 1").select(outer, inner), "whole")
+    ws.drop(groups, several)
+    return whole, kinds
+
+
+def _shared(rows: DataFrame, digit: str, ws: Workspace) -> DataFrame:
+    """Rows whose ``digit`` occurs more than once."""
+    shared = ws.save(rows.groupBy(digit).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(digit), "shared")
+    out = ws.save(matching(rows, shared, [digit]).select(rows.columns), "active")
+    ws.drop(rows, shared)
+    return out
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``k, h, b``: keys that tell texts apart even where doc_id is null or repeats, and the text's bytes."""
-    return docs.select("*", key_of().alias("k"), F.xxhash64(text_bytes()).alias("h"), text_bytes().alias("b"))
+    """Adds keys that tell texts apart even where doc_id is null or repeats, and the text's bytes, under names of our own."""
+    return docs.select("*", key_of().alias("_qw_k"), F.xxhash64(text_bytes()).alias("_qw_h"), text_bytes().alias("_qw_b"))
+
+
+def bare(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("_qw_k").alias("k"), F.col("_qw_h").alias("h"), F.col("_qw_b").alias("b"))
 
 
 def repeated_spans(docs: DataFrame, ws: Workspace, threshold: int = THRESHOLD, digit: int = DIGIT) -> tuple[DataFrame, DataFrame]:
@@ -176,34 +195,27 @@ def repeated_spans(docs: DataFrame, ws: Workspace, threshold: int = THRESHOLD, d
     texts that have any.  texts: ``k, h, b`` of all texts in spans and some more.
     """
     docs = docs.select("k", "h", "b")
-    anchors = ws.save(find_anchors(docs, threshold, digit), "anchors")
-    shared = anchors.groupBy("d1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1")
-    active = ws.save(anchors.join(shared, "d1", "left_semi").select(anchors.columns), "active")
-    ws.drop(anchors)
-    whole, kinds = _settle(active, "d1", "d2")
-    settled = ws.save(active.join(whole, ["d1", "d2"], "left_semi").select("k", "h", "lo", "hi"), "settled")
-    kinds = ws.save(kinds.select("k", "h", "lo", "hi", "pos", (F.col("n") > 1).alias("done")), "kinds")
-    ws.drop(active)
-    marks = kinds.groupBy("k", "h").agg(F.collect_list(F.struct("lo", "hi", "pos", "done")).alias("marks"))
-    need = settled.select("k", "h").distinct().join(marks, ["k", "h"], "full")
-    # texts pass one shuffle; those without a shared anchor end here
-    need = ws.save(need, "need")
+    anchors = _shared(ws.save(find_anchors(docs, threshold, digit), "anchors"), "d1", ws).withColumn("done", F.lit(False))
+    whole, kinds = _settle(anchors, "d1", "d2", ws)
+    settled = ws.save(matching(anchors, whole, ["d1", "d2"]).select("k", "h", "lo", "hi"), "settled")
+    marks = kinds.groupBy("k", "h").agg(F.collect_list(F.struct("lo", "hi", "pos", (F.col("n") > 1).alias("done"))).alias("marks"))
+    need = ws.save(settled.select("k", "h").distinct().join(marks, ["k", "h"], "full"), "need")
+    # texts pass one shuffle; those without a shared anchor do not
     maybe = mark_possible(docs, need, ["k", "h"], "maybe").filter("maybe").drop("maybe")
     texts = ws.save(maybe.join(need, ["k", "h"]), "texts")
-    ws.drop(kinds, need)
-    blocks = ws.save(cut_blocks(texts, threshold), "blocks")
-    whole, kinds = _settle(blocks, "core", "span")
-    in_blocks = blocks.filter("not done").join(whole, ["core", "span"], "left_semi").select("k", "h", "lo", "hi")
-    # of a digit that occurs once, the representative is the row itself
-    alone = kinds.filter("n = 1").select("k", "h", "pos", "lo").join(blocks.select("k", "h", "pos", "lo", "done"), ["k", "h", "pos", "lo"]).filter("not done").select("k", "h", "pos", "lo").distinct()
-    kinds = kinds.join(alone.withColumn("open", F.lit(True)), ["k", "h", "pos", "lo"], "left").select("k", "h", "lo", "hi", F.coalesce("open", F.lit(False)).alias("open"))
-    listed = kinds.groupBy("k", "h").agg(F.collect_list(F.struct("lo", "hi", "open")).alias("blocks"))
+    ws.drop(whole, kinds, need)
+    blocks = _shared(ws.save(cut_blocks(texts, threshold), "blocks"), "core", ws)
+    whole, kinds = _settle(blocks, "core", "span", ws)
+    in_blocks = ws.save(matching(blocks.filter("not done"), whole, ["core", "span"]).select("k", "h", "lo", "hi"), "in-blocks")
+    listed = kinds.groupBy("k", "h").agg(F.collect_list(F.struct("lo", "hi", ((F.col("n") == 1) & ~F.col("done")).alias("open"))).alias("blocks"))
     windows = ws.save(cut_windows(texts.select("k", "h", "b").join(listed, ["k", "h"]), threshold), "windows")
-    twice = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w")
-    in_windows = windows.filter("open").join(twice, "w", "left_semi").select("k", "h", "lo", F.col("lo").alias("hi"))
-    runs = settled.unionByName(in_blocks).unionByName(in_windows).distinct()
-    spans = ws.save(runs.groupBy("k", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    ws.drop(settled, blocks, windows)
+    ws.drop(blocks, whole, kinds)
+    twice = ws.save(windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w"), "twice")
+    in_windows = matching(windows.filter("open"), twice, ["w"]).select("k", "h", "lo", F.col("lo").alias("hi"))
+    # rows that repeat a key give their runs more than once
+    runs = settled.unionByName(in_blocks).unionByName(in_windows)
+    spans = ws.save(runs.groupBy("k", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+    ws.drop(settled, in_blocks, windows, twice)
     return spans, texts.select("k", "h", "b")
 
 
@@ -235,20 +247,22 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
     """
     ws = Workspace(docs.sparkSession, "repeats")
     rows = keyed(docs)
-    spans, texts = repeated_spans(rows, ws, threshold, digit)
+    spans, _ = repeated_spans(bare(rows), ws, threshold, digit)
+    spans = spans.select(F.col("k").alias("_qw_k"), F.col("h").alias("_qw_h"), F.col("spans").alias("_qw_spans"))
     schema = docs.schema
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             text = [
-                t if s is None or t is None else cut_out(t.encode(), merge(s, threshold)).decode("utf-8", "ignore")
-                for t, s in zip(batch["text"], batch["spans"], strict=True)]
+                t if s is None else cut_out(t.encode(), merge(s, threshold)).decode("utf-8", "ignore")
+                for t, s in zip(batch["text"], batch["_qw_spans"], strict=True)]
             yield batch.assign(text=text)[schema.names]
 
-    key = [F.col("_d.k").eqNullSafe(F.col("_s.k")), F.col("_d.h") == F.col("_s.h")]
-    joined = rows.drop("b").alias("_d").join(spans.alias("_s"), key, "left").select("_d.*", "_s.spans").drop("k", "h")
-    untouched = joined.filter("spans is null").drop("spans")
-    return untouched.unionByName(joined.filter("spans is not null").mapInPandas(cut, schema))
+    # documents that surely have no span stay where they are; only the others are shuffled
+    rows = mark_possible(rows.drop("_qw_b"), spans, ["_qw_k", "_qw_h"], "_qw_maybe")
+    aside = rows.filter("not _qw_maybe").select(docs.columns)
+    joined = rows.filter("_qw_maybe").join(spans, ["_qw_k", "_qw_h"], "left").select(*docs.columns, "_qw_spans")
+    return aside.unionByName(joined.mapInPandas(cut, schema))
 
 
 def removal_report(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT) -> DataFrame:
@@ -258,7 +272,7 @@ def removal_report(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
     doc_id and text stand for texts of their own, and each has its row.
     """
     ws = Workspace(docs.sparkSession, "repeats")
-    rows = keyed(docs.select("doc_id", "text"))
+    rows = bare(keyed(docs.select("doc_id", "text")))
     spans, texts = repeated_spans(rows, ws, threshold, digit)
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
