@@ -21,6 +21,7 @@ from ..operators import pages as P
 from ..operators import raster as R
 from ..operators import sequences as Q
 from ..operators import spans as S
+from ..operators import visual as X
 from ..operators.markdown import markdown_to_xhtml
 from ..sources import archive
 from . import duck as D
@@ -582,3 +583,11 @@ def package_books(spark, sf_dir):
     pages = docs.withColumn("html", html).select(
         "doc_id", F.lit(1).alias("number"), F.coalesce(T.first_heading(F.col("html")), F.lit("Page 1")).alias("title"), "html", T.has_text(F.col("html")).alias("has_text"))
     return archive.package_books(pages).select("doc_id", "source_pages", "text_pages", F.length("content").alias("n_bytes"), "error")
+
+
+@query(f"""{V.duck('v_spans', 'v_images')}SELECT doc_id, page_index, region_index, l AS "left", t AS top, w AS crop_width, h AS crop_height, CASE WHEN w < 80 OR h < 48 THEN 'too-small' ELSE 'ok' END AS status FROM (
+ SELECT doc_id, page_index, image_index AS region_index, CAST(greatest(floor(bx * 2), 0) AS BIGINT) AS l, CAST(greatest(floor((792 - by_ - bh) * 2), 0) AS BIGINT) AS t,
+  least(CAST(ceil((bx + bw) * 2) AS BIGINT), 1224) - CAST(greatest(floor(bx * 2), 0) AS BIGINT) AS w, least(CAST(ceil((792 - by_) * 2) AS BIGINT), 1584) - CAST(greatest(floor((792 - by_ - bh) * 2), 0) AS BIGINT) AS h FROM v_images)""")
+def crop_plans(spark, sf_dir):
+    plan = X.crop_plan(V.image_regions(spark, sf_dir), "figure")
+    return plan.select("doc_id", "page_index", "region_index", "left", "top", "crop_width", "crop_height", "status")

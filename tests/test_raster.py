@@ -257,3 +257,29 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([str(path)]) == 0 and main([str(path)]) == 1 and main([str(path), "--force"]) == 0
     path.write_bytes(b"%PDF-x")
     assert main([str(path), "--force"]) == 1
+
+
+def test_crops_follow_captions_and_graphics(spark):
+    import zlib as z
+
+    from quireworks.operators import visual as X
+
+    keys = "doc_id long, page_index long, "
+    captions = spark.createDataFrame([(1, 0, 0, 60.0, 100.0, 200.0, 10.0, "Left", "Figure 1: a b")], keys + "caption_index long, x float, y float, width float, height float, column string, text string")
+    graphics = spark.createDataFrame([(1, 0, 100.0, 150.0, 60.0, 50.0), (1, 0, 400.0, 150.0, 60.0, 50.0)], keys + "x float, y float, width float, height float")
+    regions = X.figure_regions(captions, graphics)
+    r = regions.first()
+    assert (r["x"], r["y"], r["width"], r["height"], r["text"]) == (98.0, 148.0, 64.0, 54.0, "Figure 1: a b")
+    plan = X.crop_plan(regions, "figure").cache()
+    p = plan.first()
+    assert (p["left"], p["top"], p["crop_width"], p["crop_height"], p["status"]) == (196, 1180, 128, 108, "ok")
+    page = np.random.default_rng(0).integers(0, 256, (1584, 1224, 3), np.uint8)
+    rasters = spark.createDataFrame([(1, 0, 1224, 1584, bytearray(page.tobytes()))], keys + "width int, height int, pixels binary")
+    image = X.crop_images(plan, rasters, "figure").first()
+    data = bytes(image["content"])
+    assert image["href"] == "images/figure-0001-01.png" and data[16:24] == (128).to_bytes(4, "big") + (108).to_bytes(4, "big")
+    start = data.index(b"IDAT")
+    rows = np.frombuffer(z.decompress(data[start + 4 : start + 4 + int.from_bytes(data[start - 4 : start], "big")]), np.uint8).reshape(108, 1 + 3 * 128)
+    assert (rows[:, 1:].reshape(108, 128, 3) == page[1180:1288, 196:324]).all()
+    turned = X.crop_plan(regions.selectExpr("*", "cast(90 as float) rotation_degrees"), "figure")
+    assert turned.first()["status"] == "rotated" and X.crop_warnings(turned, "figure").count() == 1
