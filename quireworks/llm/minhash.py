@@ -11,9 +11,10 @@ bins borrow from the next one.  ROWS bins make a band.  Texts that share a band
 are candidates, and weighted Jaccard similarity of whole texts decides.
 
 Within a band's bucket no pairs are spelled out: members are compared with one
-hub, verified links join classes, and only members whose class still differs
-from their bucket's are compared further, until no pair of a bucket whose ends
-lie in different classes is left uncompared.
+hub, and verified links join classes.  Only members outside their bucket's
+largest class meet the bucket's members of other classes, inside a join whose
+condition compares sketches, so no pair that could link two classes is left out
+and only likely ones become rows.
 """
 
 from __future__ import annotations
@@ -26,22 +27,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, Workspace, key_of, mark_possible, text_bytes
+from .common import NULL_KEY, Workspace, key_of, mark_possible, matching, text_bytes
 
 SHINGLE, SIMILAR = 5, 0.8
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 24, 6
 BINS = BANDS * ROWS
 #: Document frequencies are counted in 2**FREQUENCY_BITS buckets.
 FREQUENCY_BITS = 18
 REMEMBERED = 400_000
 #: Rows that one vectorised step samples, about.
 CHUNK = 200_000
-#: Comparisons a row of candidates that the last step may take; above, another hub goes first.
-LAST_STEP = 4
+#: Every so many bins one value is kept to estimate similarities: texts of FEW shingles or more whose
+#: estimate is below UNLIKELY (four standard deviations under SIMILAR) are not compared in full.
+KEPT, UNLIKELY, FEW = 2, 0.6, 256
 
 _PUNCTUATION = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_WEIGHTS = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 2**64) | 1) for i in range(SHINGLE)]
+_WEIGHTS = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 2**64) | 1) for i in range(max(SHINGLE, ROWS))]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -104,8 +106,8 @@ def sample(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.log(c) - r * (t - beta) - r, t.astype(np.int64)
 
 
-def band_keys(text_of: np.ndarray, h: np.ndarray, weight: np.ndarray, n_texts: int) -> np.ndarray:
-    """Band keys (texts x BANDS) of shingles ``h`` of texts numbered ``text_of``; rows without shingles are zero."""
+def band_keys(text_of: np.ndarray, h: np.ndarray, weight: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(band keys, kept bin values) of shingles ``h`` of texts numbered ``text_of``; rows without shingles are zero."""
     a, t = sample(h, weight)
     bin_ = (mix(h ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(BINS)).astype(np.int64)
     place = text_of * BINS + bin_
@@ -127,7 +129,9 @@ def band_keys(text_of: np.ndarray, h: np.ndarray, weight: np.ndarray, n_texts: i
         for i in range(ROWS):
             keys = mix(keys + cells[:, i::ROWS] * _WEIGHTS[i])
         keys = keys + np.arange(1, BANDS + 1, dtype=np.uint64) * _M2
-    return np.where(some[:, None], keys, np.uint64(0))
+        bins = np.arange(0, BINS, KEPT, dtype=np.uint64)
+        kept = (mix(cells[:, ::KEPT] + (bins + np.uint64(1)) * _M1) >> np.uint64(32)).astype(np.uint32)
+    return np.where(some[:, None], keys, np.uint64(0)), kept
 
 
 def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,11 +161,14 @@ def _signatures(shared):
                     at += 1
                 h, n = np.concatenate(hs), np.concatenate(counts)
                 weight = n * factor[(h >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)]
-                keys = band_keys(np.repeat(np.arange(len(sizes)), sizes), h, weight, len(sizes)).view(np.int64)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                keys, kept = band_keys(owner, h, weight, len(sizes))
+                keys, kept = keys.view(np.int64), kept.view(np.int32)
                 part = batch.iloc[at - len(sizes) : at]
                 yield pd.DataFrame({
                     "k": part["k"].to_numpy(), "text_hash": part["text_hash"].to_numpy(),
-                    "bands": [k.tolist() if s else [] for k, s in zip(keys, sizes, strict=True)]})
+                    "bands": [k.tolist() if s else [] for k, s in zip(keys, sizes, strict=True)], "sketch": [k.tolist() for k in kept],
+                    "weight": np.bincount(owner, weight, len(sizes)), "shingles": sizes})
 
     return run
 
@@ -234,54 +241,49 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     shared = spark.sparkContext.broadcast(idf(counts, int(table["n"][~inside].sum())))
 
     hashed = rows.select("k", "b", F.sha2("b", 256).alias("text_hash"))
-    signs = ws.save(hashed.mapInPandas(_signatures(shared), "k long, text_hash string, bands array<long>"), "signatures")
+    signs = ws.save(hashed.mapInPandas(_signatures(shared), "k long, text_hash string, bands array<long>, sketch array<int>, weight double, shingles int"), "signatures")
     # equal texts become one representative before anything is paired
-    reps = signs.groupBy("text_hash").agg(F.min("k").alias("k"), F.min("bands").alias("bands"))
+    reps = signs.groupBy("text_hash").agg(F.min("k").alias("k"), F.min(F.struct("bands", "weight")).alias("s"))
     # numbered when written, so a number stays with its text whatever runs again
-    reps = ws.save(reps.withColumn("rep", F.monotonically_increasing_id()), "representatives")
-    banded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    # a key belongs to one band: its number is part of the hash; the band keeps it so beyond doubt
-    several = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("hub")).filter("n > 1")
-    members = ws.save(banded.join(several.drop("n"), ["band", "key"]), "members")
-    ids = members.select("rep").distinct()
+    reps = ws.save(reps.select("text_hash", "k", "s.*").withColumn("rep", F.monotonically_increasing_id()), "representatives")
+    banded = reps.select("rep", "weight", F.posexplode("bands").alias("band", "key"))
+    several = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "weight")).alias("hub")).filter("n > 1")
+    several = ws.save(several.select("band", "key", "hub"), "buckets")
+    members = ws.save(matching(banded, several, ["band", "key"]).select("band", "key", "rep", "weight"), "members")
     # representatives' texts that any bucket holds, once
-    held = ws.save(reps.join(ids, "rep", "left_semi").select("k", "text_hash", "rep"), "held")
+    held = ws.save(reps.join(members.select("rep").distinct(), "rep", "left_semi").select("k", "text_hash", "rep"), "held")
     maybe = mark_possible(hashed, held, ["k", "text_hash"], "maybe").filter("maybe").drop("maybe")
     texts = ws.save(maybe.join(held, ["k", "text_hash"]).dropDuplicates(["rep"]).select("rep", "b"), "texts")
+    # the smaller weight over the larger bounds the similarity
+    near_weight = lambda a, b: F.least(a, b) >= F.greatest(a, b) * F.lit(least - 1e-9)
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Links among ``pairs`` (a, b)."""
         left = texts.select(F.col("rep").alias("a"), F.col("b").alias("x"))
         right = texts.select(F.col("rep").alias("b"), F.col("b").alias("y"))
-        # sorted by a, so a hub's shingles are made once for a run of its members
+        # joined by a last, so a hub's shingles are made once for a run of its members
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
         return both.mapInPandas(_similar(shared, least), "a long, b long, similarity double")
 
-    links = ws.save(verify(members.filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()), "links")
-    hubs = ws.save(several.select("band", "key", F.col("hub").alias("rep")), "hubs")
-    while True:
-        labels = connected(links, ws)
-        now = members.select("band", "key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        open_ = now.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("band", "key")
-        now = ws.save(now.join(open_, ["band", "key"], "left_semi"), "open")
-        sizes = now.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("n"))
-        main = sizes.groupBy("band", "key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"))
-        now = now.join(main, ["band", "key"])
-        # members outside their bucket's largest class that no one has been compared with yet
-        rest = ws.save(now.filter("label != main").join(hubs, ["band", "key", "rep"], "left_anti"), "rest")
-        work = rest.agg(F.sum("all").alias("pairs")).first()["pairs"] or 0
-        if not work:
-            break
-        last = work <= LAST_STEP * max(members.count(), 1000)
-        turn = rest if last else rest.join(rest.groupBy("band", "key").agg(F.min("rep").alias("rep")), ["band", "key", "rep"], "left_semi")
-        one = turn.select("band", "key", F.col("rep").alias("a"), F.col("label").alias("la"))
-        pairs = one.join(now.select("band", "key", F.col("rep").alias("b"), F.col("label").alias("lb")), ["band", "key"]).filter("la != lb")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = ws.save(links.unionByName(verify(pairs)), "links")
-        hubs = ws.save(hubs.unionByName(turn.select("band", "key", "rep")), "hubs")
-        if last:
-            labels = connected(links, ws)
-            break
+    star = members.join(several, ["band", "key"]).filter((F.col("rep") != F.col("hub.rep")) & near_weight(F.col("weight"), F.col("hub.weight")))
+    links = ws.save(verify(star.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()), "links")
+    labels = connected(links, ws)
+    now = ws.save(members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled")
+    # buckets whose members are in several classes, with the largest one
+    sizes = now.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("n"))
+    open_ = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("classes"))
+    open_ = ws.save(open_.filter("classes > 1").select("band", "key", F.col("most.label").alias("main")), "open")
+    now = ws.save(matching(now, open_.select("band", "key"), ["band", "key"]), "open-members")
+    sketches = matching(signs, ws.save(matching(held, now.select("rep").distinct(), ["rep"]), "open-held"), ["k", "text_hash"])
+    sketches = sketches.join(held, ["k", "text_hash"]).select("rep", "sketch", "shingles")
+    now = ws.save(now.join(sketches.dropDuplicates(["rep"]), "rep"), "sketched")
+    rest = now.join(open_, ["band", "key"]).filter("label != main").drop("main")
+    one = rest.select("band", "key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("weight").alias("wa"), F.col("sketch").alias("sa"), F.col("shingles").alias("na"))
+    two = now.select(F.col("band").alias("band2"), F.col("key").alias("key2"), F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("weight").alias("wb"), F.col("sketch").alias("sb"), F.col("shingles").alias("nb"))
+    likely = (F.least("na", "nb") < FEW) | (F.size(F.array_intersect("sa", "sb")) >= int(UNLIKELY * BINS / KEPT))
+    pairs = one.join(two, (F.col("band") == F.col("band2")) & (F.col("key") == F.col("key2")) & (F.col("la") != F.col("lb")) & near_weight(F.col("wa"), F.col("wb")) & likely)
+    more = verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = connected(ws.save(links.unionByName(more), "links"), ws)
     shown = lambda c: F.when(F.col(c) != F.lit(NULL_KEY), F.col(c)).alias(c)
     named = signs.select("k", "text_hash").join(reps.select("text_hash", "rep", F.col("k").alias("rep_id")), "text_hash")
     named = named.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("k", "rep_id", F.coalesce("label", "rep").alias("label"))
@@ -291,6 +293,6 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """The columns of ``docs`` for the row of each class with the smallest doc_id; repeated rows go too."""
-    classes = near_duplicates(docs, least).filter("doc_id <=> class_id").select(F.col("doc_id").alias("_k")).distinct()
-    kept = docs.join(classes, F.col("doc_id").eqNullSafe(F.col("_k")), "left_semi")
+    classes = near_duplicates(docs, least).filter("doc_id <=> class_id").select(F.col("doc_id").alias("_qw_k")).distinct()
+    kept = docs.join(classes, F.col("doc_id").eqNullSafe(F.col("_qw_k")), "left_semi")
     return kept.dropDuplicates(["doc_id"])
