@@ -39,7 +39,7 @@ REMEMBERED = 400_000
 CHUNK = 200_000
 #: Every so many bins one value is kept to estimate similarities: texts of FEW shingles or more whose
 #: estimate is below UNLIKELY (four standard deviations under SIMILAR) are not compared in full.
-KEPT, UNLIKELY, FEW = 2, 0.6, 256
+KEPT, UNLIKELY, FEW = 1, 0.62, 100
 
 _PUNCTUATION = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -247,9 +247,13 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     # numbered when written, so a number stays with its text whatever runs again
     reps = ws.save(reps.select("text_hash", "k", "s.*").withColumn("rep", F.monotonically_increasing_id()), "representatives")
     banded = reps.select("rep", "weight", F.posexplode("bands").alias("band", "key"))
-    several = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "weight")).alias("hub")).filter("n > 1")
-    several = ws.save(several.select("band", "key", "hub"), "buckets")
+    several = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    several = ws.save(several, "buckets")
     members = ws.save(matching(banded, several, ["band", "key"]).select("band", "key", "rep", "weight"), "members")
+    # the hub is the member that meets most others over all bands: what copies were made from meets more than a copy
+    meets = ws.save(members.join(several, ["band", "key"]).groupBy("rep").agg(F.sum("n").alias("meets")), "meets")
+    several = members.join(meets, "rep").groupBy("band", "key").agg(F.max(F.struct("meets", F.col("rep").alias("rep"), "weight")).alias("hub"))
+    several = ws.save(several, "hubs")
     # representatives' texts that any bucket holds, once
     held = ws.save(reps.join(members.select("rep").distinct(), "rep", "left_semi").select("k", "text_hash", "rep"), "held")
     maybe = mark_possible(hashed, held, ["k", "text_hash"], "maybe").filter("maybe").drop("maybe")
