@@ -12,12 +12,15 @@ relaxes the best way to that position (Viterbi).
 
 Runs of the space mark may tie in score; those segments are merged directly.
 Texts are cut before each run of space marks, which no piece crosses, and the
-ids of recent segments are remembered.
+ids of recent segments are remembered.  New segments are cut once more, between
+characters that no piece has side by side.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -28,7 +31,9 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 #: Segments that a task remembers the ids of, at most.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: Segments this long are not remembered.
+LONG = 100
 SEGMENT = regex.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -53,17 +58,30 @@ class PieceModel:
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
         self.score = {p.piece: p.score for p in proto.pieces if p.type in (NORMAL, USER)}
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in (NORMAL, USER)}
-        self.floor = min(self.score.values()) - 10.0
         self.automaton = ahocorasick.Automaton()
-        for piece, i in self.ids.items():
-            self.automaton.add_word(piece, (i, piece))
+        ordered = sorted(self.score, key=lambda p: (len(p) > 1, -self.score[p], p))
+        #: Pieces in the order of their merges, single characters first, with the two parts of the last merge.
+        self.rank = {p: r for r, p in enumerate(ordered)}
+        self.name, self.split = ordered, []
+        for rank, piece in enumerate(ordered):
+            parts = [piece] if len(piece) == 1 or self.unigram else self.merged(piece, stop=True)
+            self.split.append((rank, rank) if len(parts) == 1 else tuple(self.rank[p] for p in parts) if len(parts) == 2 else None)
+            # a piece that the merges never form is never reported
+            if self.split[-1] is not None:
+                self.automaton.add_word(piece, (rank, len(piece)))
         self.automaton.make_automaton()
-        self.whole: dict[str, bool] = {}
-        self.beside: dict[tuple[str, str], bool] = {}
+        self.value = [self.score[p] for p in ordered]
+        self.beside: dict[int, bool] = {}
+        #: Neighbouring characters inside some piece; no piece crosses any other two.
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """The pieces that merging by score leaves: the best pair first, the leftmost of equals."""
+    def merged(self, text: str, stop: bool = False) -> list[str]:
+        """The pieces that merging by score leaves: the best pair first, the leftmost of equals.
+
+        ``stop``: the parts before the merge that would form the whole text.
+        """
         parts = list(text)
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap: list[tuple[float, int, int, str]] = []
@@ -79,6 +97,8 @@ class PieceModel:
             _, i, j, both = heapq.heappop(heap)
             if not parts[i] or after[i] != j or parts[i] + parts[j] != both:
                 continue
+            if stop and len(both) == len(text):
+                break
             parts[i], parts[j] = both, ""
             after[i] = after[j]
             if after[j] < len(parts):
@@ -88,56 +108,87 @@ class PieceModel:
             offer(i)
         return [p for p in parts if p]
 
-    def fits(self, left: str, right: str) -> bool:
-        """Whether the merges of ``left + right`` leave these two pieces."""
-        if not left:
-            if (found := self.whole.get(right)) is None:
-                found = self.whole[right] = self.merged(right) == [right]
-            return found
-        key = (left, right)
-        if (found := self.beside.get(key)) is None:
-            if len(self.beside) > 2 * REMEMBERED:
-                self.beside.clear()
-            found = self.beside[key] = self.merged(left + right) == [left, right]
-        return found
-
-    def relax(self, segment: str) -> list[str]:
-        """Pieces of a segment by one pass over the automaton's reports."""
-        n = len(segment)
-        last: list[str | None] = [""] + [None] * n
-        best = [0.0] + [-np.inf] * n
-        reports: Iterator = self.automaton.iter(segment)
-        report = next(reports, None)
-        for end in range(1, n + 1):
-            while report is not None and report[0] + 1 == end:
-                piece = report[1][1]
-                start = end - len(piece)
-                if last[start] is not None:
-                    if self.unigram:
-                        if (s := best[start] + self.score[piece]) > best[end]:
-                            best[end], last[end] = s, piece
-                    elif last[end] is None and self.fits("", piece) and (start == 0 or self.fits(last[start], piece)):
-                        last[end] = piece
-                report = next(reports, None)
-            if last[end] is None and last[end - 1] is not None:  # a character that no piece covers
-                best[end], last[end] = best[end - 1] + self.floor, segment[end - 1]
-        out, at = [], n
+    def fits(self, left: int, right: int) -> bool:
+        """Whether the merges of two pieces side by side leave both.
+
+        Merges are undone from the last one back; at each step no merge across
+        the border may come before the one that was undone.
+        """
+        limit = len(self.name)
+        rank, name, split = self.rank, self.name, self.split
+        while True:
+            if (across := rank.get(name[left] + name[right])) is not None and across < limit:
+                return False
+            for side in ((0, 1) if left > right else (1, 0)):
+                if side == 0 and (inner := split[left][1]) != left:
+                    limit, left = left, inner
+                    break
+                if side == 1 and (inner := split[right][0]) != right:
+                    limit, right = right + 1, inner
+                    break
+            else:
+                return True
+
+    def relax(self, part: str) -> list[str]:
+        """Pieces of a part by one pass over the automaton's reports.
+
+        A part is one character that no piece covers, or has none such.
+        """
+        last: list[int | None] = [-1] + [None] * len(part)
+        if self.unigram:
+            best = [0.0] + [-np.inf] * len(part)
+            for at, (piece, length) in self.automaton.iter(part):
+                if (s := best[at + 1 - length] + self.value[piece]) > best[at + 1]:
+                    best[at + 1], last[at + 1] = s, piece
+        else:
+            beside = self.beside
+            for at, (piece, length) in self.automaton.iter(part):
+                if last[at + 1] is None:
+                    before = last[at + 1 - length]
+                    if before < 0:
+                        last[at + 1] = piece
+                        continue
+                    if (good := beside.get(key := before << 20 | piece)) is None:
+                        if len(beside) > 4 * REMEMBERED:
+                            beside.clear()
+                        good = beside[key] = self.fits(before, piece)
+                    if good:
+                        last[at + 1] = piece
+        out, at = [], len(part)
         while at:
-            out.append(last[at])
-            at -= len(last[at])
+            out.append(part[at - 1] if last[at] is None else self.name[last[at]])
+            at -= len(out[-1])
         return out[::-1]
 
-    def segment_ids(self, segment: str) -> list[int]:
-        direct = not self.unigram and (segment.startswith(SPACE * 2) or segment == SPACE)
+    def part_ids(self, part: str) -> bytes:
+        """Ids of a part that no piece crosses the ends of."""
         ids: list[int] = []
-        for piece in self.merged(segment) if direct else self.relax(segment):
+        direct = not self.unigram and (part.startswith(SPACE * 2) or part == SPACE)
+        for piece in self.merged(part) if direct else self.relax(part):
             if (i := self.ids.get(piece)) is not None:
                 ids.append(i)
             elif self.bytes:
                 ids.extend(self.bytes[b] for b in piece.encode())
             elif not ids or ids[-1] != self.unknown:
                 ids.append(self.unknown)
-        return ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def segment_ids(self, segment: str) -> bytes:
+        """Ids of a segment, part by part: it is cut between characters that no piece has side by side."""
+        inside, parts, out, start = self.inside, self.parts, [], 0
+        if len(parts) > REMEMBERED:
+            parts.clear()
+        for end in range(1, len(segment) + 1):
+            if end < len(segment) and (segment[end - 1 : end + 1] in inside or not self.bytes):
+                continue
+            part = segment[start:end]
+            if (ids := parts.get(part)) is None:
+                ids = self.part_ids(part)
+                if len(part) < LONG:
+                    parts[part] = ids
+            out.append(ids)
+            start = end
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers; an empty text has none."""
@@ -149,8 +200,8 @@ class PieceModel:
             if (ids := known.get(segment)) is None:
                 if len(known) > REMEMBERED:
                     known.clear()
-                ids = np.asarray(self.segment_ids(segment), "<u4").tobytes()
-                if len(segment) < 200:
+                ids = self.segment_ids(segment)
+                if len(segment) < LONG:
                     known[segment] = ids
             out.append(ids)
         return b"".join(out)
@@ -176,6 +227,12 @@ class PieceModel:
         return text.replace(SPACE, " ")
 
 
+@functools.cache
+def piece_model(path: str) -> PieceModel:
+    """One model a Python worker, so that tasks that follow each other share what it remembers."""
+    return PieceModel(path)
+
+
 ENCODED = "ids binary, decoded string"
 
 
@@ -183,7 +240,7 @@ def encode_texts(docs: DataFrame, model_path: str, decode: bool = True) -> DataF
     """``doc_id, ids, decoded`` of every whole text; a null text has no ids and decodes to the empty text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = PieceModel(model_path)
+        model = piece_model(model_path)
         for batch in batches:
             ids = [model.encode(t or "") for t in batch["text"]]
             texts = [model.decode(i) for i in ids] if decode else [None] * len(ids)

@@ -103,6 +103,11 @@ def test_unigram_pass_finds_the_best_sum():
     plain = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
     own.unigram = True
     own.score = {p.piece: p.score for p in proto.pieces if p.type == 1}
+    own.value = [own.score[p] for p in own.name]
+    own.automaton = type(own.automaton)()
+    for rank, piece in enumerate(own.name):
+        own.automaton.add_word(piece, (rank, len(piece)))
+    own.automaton.make_automaton()
     rng = random.Random(4)
     for _ in range(300):
         word = "▁" + "".join(rng.choice("abcdeinorst") for _ in range(rng.randint(1, 14)))
