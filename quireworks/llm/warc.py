@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import Workspace, text_bytes
 
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -141,6 +141,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     response = F.col("record_type") == "response"
     targets = records.filter(response).groupBy(F.col("record_id").alias("refers_to_record")).agg(
         F.first("page_id").alias("t_page"), F.max("payload_bytes").alias("t_bytes"), F.max("actual_digest").alias("t_digest"))
+    # written, so that the join below stands alone and a response that many refer to can be split
+    targets = Workspace(records.sparkSession, "warc").save(targets, "responses")
     out = records.join(targets, "refers_to_record", "left")
     return out.select(
         "page_id", "url", F.coalesce("payload_bytes", "t_bytes").alias("payload_bytes"),
