@@ -12,11 +12,15 @@ of its length.
 from __future__ import annotations
 
 import bisect
+import functools
+import struct
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,38 +29,73 @@ from .common import Workspace, key_of
 
 CAPACITY = 4096
 #: Words that a task remembers the ids of, at most.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: Parts this long are not remembered; rows that a task sends on at once.
+LONG_PART, FLUSH = 100, 2000
 #: Pieces of one length that one task ranks, about.
 BUCKET_ROWS = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
+#: The pattern by which the vocabulary cuts words, and its map from bytes to characters (a fixed format).
+CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: chr(b) for b in PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTED)}
+
+
 class WordTokenizer:
-    """Ids of whole texts from a tokenizer whose pieces never cross ASCII white space.
+    """Ids of whole texts from a byte-pair tokenizer file whose pieces end with their word.
 
-    Texts are cut at ASCII white space, which the vocabulary's own normaliser
-    drops, and each distinct word is tokenized once while it is remembered.
+    Texts are cut at ASCII white space, which the vocabulary's normaliser drops
+    and no piece crosses.  Words are normalised and cut as the file says
+    (composed, lower case, by ``CUT``), and its merges run on each distinct part
+    while it is remembered.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
+        self.merges = Tokenizer.from_file(path).model
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def part(self, part: str) -> bytes:
+        """Ids of one part of a word."""
+        text = part if part.isascii() and part.isprintable() else "".join(BYTE_CHARS[b] for b in part.encode())
+        return struct.pack(f"<{len(found)}I", *found) if (found := [t.id for t in self.merges.tokenize(text)]) else b""
+
+    def word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if not text.isascii():
+            text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
+        else:
+            text = text.lower()
+        parts, out = self.parts, []
+        for part in CUT.findall(text):
+            if (ids := parts.get(part)) is None:
+                if len(parts) > REMEMBERED:
+                    parts.clear()
+                ids = self.part(part)
+                if len(part) < LONG_PART:
+                    parts[part] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def __call__(self, text: bytes) -> bytes:
-        words = text.split()
-        known = self.known
-        missing = [w for w in set(words) if w not in known]
-        if missing:
-            if len(known) > REMEMBERED:
-                known.clear()
-                missing = list(set(words))
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
-            for w, e in zip(missing, found, strict=True):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        found, words = text.split(), self.words
+        missing = set(found).difference(words)
+        if len(words) + len(missing) > REMEMBERED:
+            words.clear()
+            missing = set(found)
+        for w in missing:
+            words[w] = self.word(w)
+        return b"".join([words[w] for w in found])
+
+
+@functools.cache
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer a Python worker, so that tasks that follow each other share what it remembers."""
+    return WordTokenizer(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
@@ -66,8 +105,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity
     pieces of ``capacity`` tokens.  A null text is empty: one piece with the end.
     """
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"]).astype({"doc_id": "Int64"})
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = WordTokenizer(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
+        encode, end = word_tokenizer(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["b"], strict=True):
@@ -75,7 +117,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc, piece, at // 4, len(part) // 4, part))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"]).astype({"doc_id": "Int64"})
+                if len(rows) >= FLUSH:
+                    yield frame(rows)
+                    rows = []
+            yield frame(rows)
 
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return docs.select(F.col("doc_id").cast("long"), text.alias("b")).mapInPandas(cut, PIECES)
