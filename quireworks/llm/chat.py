@@ -10,6 +10,8 @@ one conversation.  DataFrame functions only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,13 +72,20 @@ def branch_paths(messages: DataFrame, top_k: int = 1) -> DataFrame:
     leaves = ws.save(state.join(
         state.filter("up is not null").select(F.col("conv_id").alias("c"), F.col("up").alias("u")).distinct(),
         same("conv_id", "c") & (F.col("node_id") == F.col("u")), "left_anti").select("conv_id", "node_id"), "leaves")
-    while len(jumps) < most and not state.filter("up is not null").isEmpty():
+    settled = []
+    while len(jumps) < most:
+        # conversations whose messages all know their root leave; the rounds go on for the longer ones alone
+        open_ = state.filter("up is not null").select(F.col("conv_id").alias("c")).distinct()
+        if open_.isEmpty():
+            break
+        settled.append(state.join(open_, same("conv_id", "c"), "left_anti"))
+        state = state.join(open_, same("conv_id", "c"), "left_semi")
         jumps.append(state.filter("up is not null").select("conv_id", "node_id", "up"))
         above = state.select(F.col("conv_id").alias("c"), F.col("node_id").alias("a"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("sum").alias("sum2"))
         state = ws.save(state.join(above, same("conv_id", "c") & (F.col("up") == F.col("a")), "left").select(
             "conv_id", "node_id", F.col("up2").alias("up"),
             (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum")), f"step{len(jumps)}")
-    depth = state.filter("up is null").select("conv_id", "node_id", F.col("steps").alias("depth"), F.col("sum").alias("score"))
+    depth = reduce(DataFrame.unionByName, [*settled, state]).filter("up is null").select("conv_id", "node_id", F.col("steps").alias("depth"), F.col("sum").alias("score"))
     tips = depth.join(leaves.select(F.col("conv_id").alias("c"), F.col("node_id").alias("l")), same("conv_id", "c") & (F.col("node_id") == F.col("l"))).drop("c", "l")
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "node_id"))
     tips = tips.withColumn("rank", rank).filter(F.col("rank") <= top_k)
