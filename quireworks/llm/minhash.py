@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_KEY, Workspace, key_of, mark_possible, matching, text_bytes
@@ -37,9 +37,10 @@ FREQUENCY_BITS = 18
 REMEMBERED = 400_000
 #: Rows that one vectorised step samples, about.
 CHUNK = 200_000
-#: Every so many bins one value is kept to estimate similarities: texts of FEW shingles or more whose
-#: estimate is below UNLIKELY (four standard deviations under SIMILAR) are not compared in full.
-KEPT, UNLIKELY, FEW = 1, 0.62, 100
+#: A pair is not compared in full if the share of equal bins, among those that either text fills itself, lies so many
+#: standard deviations under the least similarity.  Bins count alike, so texts whose shingles weigh more than HEAVY on
+#: average (some occur many times) are always compared.
+SPREAD, HEAVY = 5.5, 2.5
 
 _PUNCTUATION = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -107,7 +108,10 @@ def sample(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def band_keys(text_of: np.ndarray, h: np.ndarray, weight: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(band keys, kept bin values) of shingles ``h`` of texts numbered ``text_of``; rows without shingles are zero."""
+    """(band keys, bin values) of shingles ``h`` of texts numbered ``text_of``; rows without shingles are zero.
+
+    A bin without a shingle has the value 0, so that a borrowed value counts once.
+    """
     a, t = sample(h, weight)
     bin_ = (mix(h ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(BINS)).astype(np.int64)
     place = text_of * BINS + bin_
@@ -129,9 +133,23 @@ def band_keys(text_of: np.ndarray, h: np.ndarray, weight: np.ndarray, n_texts: i
         for i in range(ROWS):
             keys = mix(keys + cells[:, i::ROWS] * _WEIGHTS[i])
         keys = keys + np.arange(1, BANDS + 1, dtype=np.uint64) * _M2
-        bins = np.arange(0, BINS, KEPT, dtype=np.uint64)
-        kept = (mix(cells[:, ::KEPT] + (bins + np.uint64(1)) * _M1) >> np.uint64(32)).astype(np.uint32)
-    return np.where(some[:, None], keys, np.uint64(0)), kept
+        own = (mix(cells + (np.arange(BINS, dtype=np.uint64) + np.uint64(1)) * _M1) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    return np.where(some[:, None], keys, np.uint64(0)), np.where(full, own, np.uint32(0))
+
+
+def sketch(own: np.ndarray) -> tuple[list[list[int]], list[list[int]]]:
+    """(values of the bins that hold a shingle, bitmap of these bins in 64-bit words) of each row of bin values."""
+    bits = np.zeros((len(own), -(-BINS // 64) * 64), np.uint8)
+    bits[:, :BINS] = own != 0
+    words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+    return [v[v != 0].view(np.int32).tolist() for v in own], words.tolist()
+
+
+def likely(a: str, b: str, least: float) -> Column:
+    """Whether the sketches (columns s, f and weight over shingles u, suffixed ``a`` and ``b``) leave ``least`` possible."""
+    either = sum((F.bit_count(F.col("f" + a)[i].bitwiseOR(F.col("f" + b)[i])) for i in range(-(-BINS // 64))), F.lit(0))
+    bound = F.lit(float(least)) * either - F.lit(SPREAD * float(np.sqrt(least * (1 - least)))) * F.sqrt(either.cast("double"))
+    return (F.greatest("u" + a, "u" + b) > HEAVY) | (F.size(F.array_intersect("s" + a, "s" + b)) >= bound)
 
 
 def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,11 +181,11 @@ def _signatures(shared):
                 weight = n * factor[(h >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)]
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 keys, kept = band_keys(owner, h, weight, len(sizes))
-                keys, kept = keys.view(np.int64), kept.view(np.int32)
+                keys, (values, filled) = keys.view(np.int64), sketch(kept)
                 part = batch.iloc[at - len(sizes) : at]
                 yield pd.DataFrame({
                     "k": part["k"].to_numpy(), "text_hash": part["text_hash"].to_numpy(),
-                    "bands": [k.tolist() if s else [] for k, s in zip(keys, sizes, strict=True)], "sketch": [k.tolist() for k in kept],
+                    "bands": [k.tolist() if s else [] for k, s in zip(keys, sizes, strict=True)], "sketch": values, "filled": filled,
                     "weight": np.bincount(owner, weight, len(sizes)), "shingles": sizes})
 
     return run
@@ -241,7 +259,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     shared = spark.sparkContext.broadcast(idf(counts, int(table["n"][~inside].sum())))
 
     hashed = rows.select("k", "b", F.sha2("b", 256).alias("text_hash"))
-    signs = ws.save(hashed.mapInPandas(_signatures(shared), "k long, text_hash string, bands array<long>, sketch array<int>, weight double, shingles int"), "signatures")
+    signs = ws.save(hashed.mapInPandas(_signatures(shared), "k long, text_hash string, bands array<long>, sketch array<int>, filled array<long>, weight double, shingles int"), "signatures")
     # equal texts become one representative before anything is paired
     reps = signs.groupBy("text_hash").agg(F.min("k").alias("k"), F.min(F.struct("bands", "weight")).alias("s"))
     # numbered when written, so a number stays with its text whatever runs again
@@ -279,13 +297,12 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     open_ = ws.save(open_.filter("classes > 1").select("band", "key", F.col("most.label").alias("main")), "open")
     now = ws.save(matching(now, open_.select("band", "key"), ["band", "key"]), "open-members")
     sketches = matching(signs, ws.save(matching(held, now.select("rep").distinct(), ["rep"]), "open-held"), ["k", "text_hash"])
-    sketches = sketches.join(held, ["k", "text_hash"]).select("rep", "sketch", "shingles")
+    sketches = sketches.join(held, ["k", "text_hash"]).select("rep", "sketch", "filled", (F.col("weight") / F.col("shingles")).alias("mean"))
     now = ws.save(now.join(sketches.dropDuplicates(["rep"]), "rep"), "sketched")
     rest = now.join(open_, ["band", "key"]).filter("label != main").drop("main")
-    one = rest.select("band", "key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("weight").alias("wa"), F.col("sketch").alias("sa"), F.col("shingles").alias("na"))
-    two = now.select(F.col("band").alias("band2"), F.col("key").alias("key2"), F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("weight").alias("wb"), F.col("sketch").alias("sb"), F.col("shingles").alias("nb"))
-    likely = (F.least("na", "nb") < FEW) | (F.size(F.array_intersect("sa", "sb")) >= int(UNLIKELY * BINS / KEPT))
-    pairs = one.join(two, (F.col("band") == F.col("band2")) & (F.col("key") == F.col("key2")) & (F.col("la") != F.col("lb")) & near_weight(F.col("wa"), F.col("wb")) & likely)
+    one = rest.select("band", "key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("weight").alias("wa"), F.col("sketch").alias("sa"), F.col("filled").alias("fa"), F.col("mean").alias("ua"))
+    two = now.select(F.col("band").alias("band2"), F.col("key").alias("key2"), F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("weight").alias("wb"), F.col("sketch").alias("sb"), F.col("filled").alias("fb"), F.col("mean").alias("ub"))
+    pairs = one.join(two, (F.col("band") == F.col("band2")) & (F.col("key") == F.col("key2")) & (F.col("la") != F.col("lb")) & near_weight(F.col("wa"), F.col("wb")) & likely("a", "b", least))
     more = verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = connected(ws.save(links.unionByName(more), "links"), ws)
     shown = lambda c: F.when(F.col(c) != F.lit(NULL_KEY), F.col(c)).alias(c)

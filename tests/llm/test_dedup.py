@@ -182,5 +182,58 @@ def test_sampling_follows_weighted_jaccard():
     assert abs(np.mean(same) - np.minimum(v, w).sum() / np.maximum(v, w).sum()) < 0.1
 
 
+@pytest.mark.parametrize("n", [20, 60, 100, 110, 140, 180, 400, 2000])
+def test_sketches_keep_similar_pairs(spark, n):
+    rng = np.random.default_rng(n)
+    both, one = round(n * 0.81 * 2 / 1.81), n - round(n * 0.81 * 2 / 1.81)
+    rows = []
+    for i in range(150):
+        h = rng.integers(0, 2**63, both + 2 * one, dtype=np.uint64)
+        x = 1 + rng.random(len(h))
+        sides = (np.r_[:both + one], np.r_[:both, both + one : both + 2 * one])
+        own = np.concatenate([minhash.band_keys(np.zeros(len(p), np.int64), h[p], x[p], 1)[1] for p in sides])
+        (sa, sb), (fa, fb) = minhash.sketch(own)
+        rows.append((i, sa, sb, fa, fb, 1.5, 1.5))
+    schema = "i int, sa array<int>, sb array<int>, fa array<long>, fb array<long>, ua double, ub double"
+    assert spark.createDataFrame(rows, schema).filter(minhash.likely("a", "b", 0.8)).count() == len(rows)
+
+
+def test_links_that_leave_out_the_hub(spark):
+    rng = random.Random(5)
+    rows = []
+    for g in range(150):
+        n = rng.randint(175, 195)
+        base = words(rng, n).split()
+        places = rng.sample(range(5, n - 10, 6), 19)
+        for c in range(14):  # the larger class, which has the hub
+            t = list(base)
+            t[places[c]] = f"edit{g}x{c}"
+            rows.append((1000 * g + c, " ".join(t)))
+        for at in places[14:16]:
+            base[at] = f"other{g}x{at}"
+        for c in range(2):  # linked with each other only
+            t = list(base)
+            for at in places[16 + c : 17 + 2 * c]:
+                t[at] = f"more{g}x{c}x{at}"
+            rows.append((1000 * g + 100 + c, " ".join(t)))
+    shingles = minhash.Shingler()
+    found = {d: shingles(t.encode()) for d, t in rows}
+    counts = np.zeros(1 << minhash.FREQUENCY_BITS)
+    for h, _ in found.values():
+        counts[np.unique(h >> np.uint64(64 - minhash.FREQUENCY_BITS)).astype(int)] += 1
+    factor = minhash.idf(counts, len(rows))
+    want = {d: d for d in found}
+    for g in range(150):
+        ids = sorted(d for d in found if d // 1000 == g)
+        for x in ids:
+            for y in ids:
+                if x < y and want[x] != want[y] and weighted_jaccard(found[x], found[y], factor) >= 0.8:
+                    old, new = max(want[x], want[y]), min(want[x], want[y])
+                    want |= {d: new for d in ids if want[d] == old}
+    assert sum(c % 1000 == 100 for c in want.values()) > 200
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == want
+
+
 def test_near_of_empty_table(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
