@@ -248,6 +248,14 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     null doc_id is smaller than any other, so its class has a null class_id.
     Rows that repeat a doc_id count each.
     """
+    named = _classes(docs, least)
+    classes = named.groupBy("label").agg(F.min("k").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    shown = lambda c: F.when(F.col(c) != F.lit(NULL_KEY), F.col(c)).alias(c)
+    return named.join(classes, "label").select(shown("k").alias("doc_id"), shown("class_id"), shown("rep_id"), "class_size")
+
+
+def _classes(docs: DataFrame, least: float) -> DataFrame:
+    """``k, text_hash, rep_id, label`` for every row of ``docs``: rows of a class have the same label."""
     rows = docs.select(key_of().alias("k"), text_bytes().alias("b"))
     spark = docs.sparkSession
     ws = Workspace(spark, "near")
@@ -305,15 +313,16 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     pairs = one.join(two, (F.col("band") == F.col("band2")) & (F.col("key") == F.col("key2")) & (F.col("la") != F.col("lb")) & near_weight(F.col("wa"), F.col("wb")) & likely("a", "b", least))
     more = verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = connected(ws.save(links.unionByName(more), "links"), ws)
-    shown = lambda c: F.when(F.col(c) != F.lit(NULL_KEY), F.col(c)).alias(c)
     named = signs.select("k", "text_hash").join(reps.select("text_hash", "rep", F.col("k").alias("rep_id")), "text_hash")
-    named = named.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("k", "rep_id", F.coalesce("label", "rep").alias("label"))
-    classes = named.groupBy("label").agg(F.min("k").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return named.join(classes, "label").select(shown("k").alias("doc_id"), shown("class_id"), shown("rep_id"), "class_size")
+    return named.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("k", "text_hash", "rep_id", F.coalesce("label", "rep").alias("label"))
 
 
 def drop_near_copies(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """The columns of ``docs`` for the row of each class with the smallest doc_id; repeated rows go too."""
-    classes = near_duplicates(docs, least).filter("doc_id <=> class_id").select(F.col("doc_id").alias("_qw_k")).distinct()
-    kept = docs.join(classes, F.col("doc_id").eqNullSafe(F.col("_qw_k")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """The columns of ``docs`` for one row of each class: that of the smallest doc_id, then of the smallest hash of the text.
+
+    Null doc_ids are the smallest; rows that repeat doc_id and text count as one.
+    """
+    best = _classes(docs, least).groupBy("label").agg(F.min(F.struct("k", "text_hash")).alias("best"))
+    best = best.select(F.col("best.k").alias("_qw_k"), F.col("best.text_hash").alias("_qw_h"))
+    rows = docs.withColumns({"_qw_k": key_of(), "_qw_h": F.sha2(text_bytes(), 256)})
+    return rows.join(best, ["_qw_k", "_qw_h"], "left_semi").dropDuplicates(["_qw_k", "_qw_h"]).select(docs.columns)

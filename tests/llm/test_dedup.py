@@ -235,5 +235,15 @@ def test_links_that_leave_out_the_hub(spark):
     assert got == want
 
 
+def test_near_copies_of_null_and_repeated_ids(spark):
+    rng = random.Random(4)
+    a, b, c, d, e = (words(rng, 60) for _ in range(5))
+    near = a + " more"
+    # None and 7 repeat with different texts; 7 also stands for a class whose other texts have larger ids
+    rows = [(None, a), (None, b), (None, None), (None, b), (7, c), (7, d), (7, d), (8, near), (9, c), (10, e), (11, d + " more"), (12, "")]
+    got = sorted((r["doc_id"] or -1, r["text"] or "") for r in minhash.drop_near_copies(frame(spark, rows)).collect())
+    assert got == sorted([(-1, a), (-1, b), (-1, ""), (7, c), (7, d), (10, e)])
+
+
 def test_near_of_empty_table(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
