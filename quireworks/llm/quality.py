@@ -27,6 +27,8 @@ FEATURES = [
     "distinct_share", "log_words", "words_per_line", "top_word_share", "symbol_word_share", "bang_share"]
 #: Statistics of which more never makes a document better.
 RISING = ("symbol_share", "dup_line_share", "repeat_share", "symbol_word_share", "bang_share", "top_word_share")
+#: Labelled documents from which a node is split; with fewer in all there are no trees.
+SPLIT = 20
 #: The estimate of poor quality from which a document goes.
 REJECT = 0.5
 _UPPER, _DIGIT, _PUNCT = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:!?'\"()-"
@@ -121,7 +123,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rat
             whole = worth(gs, hs, value(gs, hs))
             for f in range(x.shape[1]):
                 m = len(edges[f])
-                if not m or len(at) < 20:
+                if not m or len(at) < SPLIT:
                     continue
                 gl = np.cumsum(np.bincount(coded[at, f], g[at], m + 1))[:m]
                 hl = np.cumsum(np.bincount(coded[at, f], h[at], m + 1))[:m]
@@ -151,28 +153,44 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rat
     return Trees(feature, cut, leaf, start)
 
 
+def _labelled(labels: DataFrame) -> DataFrame:
+    return labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.max("quality") < 1).alias("bad"))
+
+
+def prior_shift(labels: DataFrame, limit: int = SAMPLE) -> float:
+    """What to add to log odds of a model fitted on ``sample_labels`` so that they hold for all labels."""
+    sizes = {r["bad"]: r["n"] for r in _labelled(labels).groupBy("bad").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = {bad: min(1.0, (limit // 2) / max(sizes.get(bad, 0), 1)) for bad in (True, False)}
+    return float(np.log(share[False] / share[True]))
+
+
 def sample_labels(labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
     """``doc_id, bad`` of at most ``limit`` labelled documents, half of each class, chosen by hash.
 
     Rows without an identifier or a quality are left out; a document labelled
     both ways counts as good.
     """
-    each = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.max("quality") < 1).alias("bad"))
-    each = each.withColumn("_h", F.xxhash64("doc_id"))
+    each = _labelled(labels).withColumn("_h", F.xxhash64("doc_id"))
     half = [each.filter(F.col("bad") == bad).orderBy("_h", "doc_id").limit(limit // 2) for bad in (True, False)]
     return half[0].unionByName(half[1]).select("doc_id", "bad")
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Trees | None:
-    """Trees fitted on labelled documents; None where a class has no document."""
+    """Trees fitted on labelled documents; None where a class has no document or no node could be split.
+
+    The sample holds half of each class, so the log odds are shifted to the
+    classes' shares among all labels: an estimate means the same at every size.
+    """
     # at most `limit` pairs of a number and a flag
     picked = F.broadcast(sample_labels(labels, limit))
     rows = docs.join(picked, "doc_id").select("doc_id", "bad", text_bytes().alias("b")).dropDuplicates(["doc_id"])
     found = _measured(rows, ["doc_id", "bad"], {"doc_id": "long", "bad": "boolean"}).toPandas().sort_values("doc_id")
     y = found["bad"].to_numpy(float)
-    if len(found) < 40 or y.min() == y.max():
+    if len(found) < SPLIT or y.min() == y.max():
         return None
-    return fit_trees(np.stack(found["features"].to_numpy()), y, rising=tuple(FEATURES.index(f) for f in RISING))
+    model = fit_trees(np.stack(found["features"].to_numpy()), y, rising=tuple(FEATURES.index(f) for f in RISING))
+    model.start += prior_shift(labels, limit)
+    return model
 
 
 def _measured(rows: DataFrame, keep: list[str], types: dict[str, str]) -> DataFrame:

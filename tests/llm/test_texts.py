@@ -176,6 +176,20 @@ def test_quality_without_labels(spark):
     assert quality.fit_model(frame(spark, TEXTS), labels) is None
 
 
+def test_estimates_follow_the_shares_of_all_labels(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 6) for _ in range(80)) for _ in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 10 > 0), 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    # texts say nothing about the labels: a tenth is bad, however many of each class are sampled
+    for limit in (60, 100, 6000):
+        model = quality.fit_model(frame(spark, texts), labels, limit)
+        assert abs(model.start - np.log(60 / 540)) < 1e-6
+        kept = quality.judge(frame(spark, texts), model).filter("verdict.kept").count()
+        assert kept > 500
+    few = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    assert quality.fit_model(frame(spark, texts), few) is not None
+
+
 def test_scores_equal_brute_force(spark):
     rng = random.Random(3)
     nouns, verbs = [f"n{i}" for i in range(30)], [f"v{i}" for i in range(30)]
