@@ -5,10 +5,11 @@ P(word | previous) = P(class(word) | class(previous)) * P(word | class(word)).
 Counts come from all training texts.  Exchange clustering assigns the CORE most
 frequent words to classes: each word moves to the class that raises the
 likelihood of the class bigrams most, until no word moves.  It works on the
-bigram counts of the core words (CORE x CORE numbers on the driver).  The other
-dictionary words then join, by the same criterion, the class that their
-neighbours' classes make likeliest.  Words outside the dictionary share one
-class, with exact counts of their own that come from a join.
+bigram counts of the core words (CORE x CORE numbers on the driver).  All other
+training words then join the class that their neighbours' classes make
+likeliest: up to CLUSTERED on the driver, the others in a distributed pass.
+Classes and exact counts of words outside the dictionary come back by a join.
+Only words that no training text holds share a class of their own.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import NULL_KEY, Workspace, key_of, text_bytes
 
-#: Words the exchange runs over, words with a class of the exchange, words that tasks know the counts of.
+#: Words the exchange runs over, words whose class the driver picks, words that tasks know the counts and classes of.
 CORE, CLUSTERED, DICTIONARY = 1024, 16_384, 300_000
 CLASSES = 48
 ADD = 0.1  # added to every count of a word
@@ -161,11 +162,10 @@ def _pad(rows: int) -> int:
 
 
 CODED = "k long, h long, held_out boolean, n_words long, known long, mass double, codes binary, rare array<binary>"
-RARE = 65_535
 
 
-def _code(train_counts: dict[bytes, tuple[int, float]]):
-    """Codes texts: 16-bit class numbers of clustered words come later, so codes are ranks below CLUSTERED or RARE."""
+def _code(train_counts: dict[bytes, tuple[int, float]], other: int):
+    """Codes texts: 32-bit ranks in the dictionary; other words have the code ``rare`` and are listed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = train_counts.value
@@ -176,7 +176,7 @@ def _code(train_counts: dict[bytes, tuple[int, float]]):
                 found = [known.get(w) for w in words]
                 rare = [w for w, f in zip(words, found, strict=True) if f is None] if None in found else []
                 hit = [f for f in found if f is not None] if rare else found
-                codes = np.fromiter((RARE if f is None else f[0] for f in found), np.uint16, len(words))
+                codes = np.fromiter((other if f is None else f[0] for f in found), np.uint32, len(words))
                 rows.append((k, h, held, len(words), len(hit), float(sum([f[1] for f in hit])), codes.tobytes(), rare))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CODED.split(", ")])
 
@@ -189,7 +189,7 @@ def _core_pairs(core: int):
         for batch in batches:
             found = [np.zeros(0, np.int64)]
             for codes in batch["codes"]:
-                a = np.frombuffer(codes, np.uint16).astype(np.int64)
+                a = np.frombuffer(codes, np.uint32).astype(np.int64)
                 if len(a) > 1:
                     both = (a[:-1] < core) & (a[1:] < core)
                     found.append(a[:-1][both] * core + a[1:][both])
@@ -207,8 +207,8 @@ def _padded(m: np.ndarray) -> np.ndarray:
 
 def _joined(batch: pd.DataFrame, edge: int) -> np.ndarray:
     """All codes of a batch, each text between two edges."""
-    mark = np.asarray([edge], np.uint16).tobytes()
-    return np.frombuffer(mark + b"".join(c + mark for c in batch["codes"]), np.uint16)
+    mark = np.asarray([edge], np.uint32).tobytes()
+    return np.frombuffer(mark + b"".join(c + mark for c in batch["codes"]), np.uint32)
 
 
 def _contexts(classes: np.ndarray, words: int, n: int, edge: int):
@@ -227,25 +227,87 @@ def _contexts(classes: np.ndarray, words: int, n: int, edge: int):
     return run
 
 
-def _class_pairs(classes: np.ndarray, n: int, edge: int):
+def _surroundings(shared, least: int, edge: int):
+    """Words of rank ``least`` or more with the classes before and after each occurrence, two bytes pairs."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        classes, other = shared.value, edge + 1
+        for batch in batches:
+            codes = _joined(batch, edge)
+            c = classes[codes].astype("<u2")
+            at = np.flatnonzero((codes >= least) & (codes != edge))
+            at = at[np.argsort(codes[at], kind="stable")]
+            near, own = np.stack([c[at - 1], c[at + 1]], 1), codes[at]
+            inside = int(np.searchsorted(own, other))
+            ends = np.append(np.flatnonzero(np.diff(own[:inside])) + 1, inside) if inside else np.zeros(0, np.int64)
+            starts, held = np.append(0, ends[:-1])[: len(ends)], near.tobytes()
+            known = [(int(own[a]), b"", held[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            words = [w for rare in batch["rare"] for w in rare]
+            beyond = [(-1, w, held[4 * i : 4 * i + 4]) for i, w in enumerate(words, inside)]
+            yield pd.DataFrame(known + beyond, columns=["code", "word", "near"])
+
+    return run
+
+
+def _assign(logs: np.ndarray):
+    """The class that the neighbours' classes make likeliest."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wide = len(logs)
+        for batch in batches:
+            joined = [b"".join(near) for near in batch["near"]]
+            pairs = np.frombuffer(b"".join(joined), "<u2").astype(np.int64).reshape(-1, 2)
+            own = np.repeat(np.arange(len(joined)), [len(x) // 4 for x in joined]) * wide
+            count = np.bincount(own + pairs[:, 0], minlength=len(joined) * wide) + np.bincount(own + pairs[:, 1] + wide // 2, minlength=len(joined) * wide)
+            yield batch[["code", "word"]].assign(cls=np.argmax(count.reshape(-1, wide) @ logs, 1).astype(np.int32))
+
+    return run
+
+
+CLASSED = "k long, h long, held_out boolean, n_words long, known long, mass double, path binary"
+
+
+def _classed(shared, edge: int):
+    """The classes of each text's words between two edges, 16 bits each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        classes = shared.value
+        mark = np.asarray([edge], np.uint32).tobytes()
+        for batch in batches:
+            path = []
+            for codes, filled in zip(batch["codes"], batch["filled"], strict=True):
+                codes = np.frombuffer(mark + codes + mark, np.uint32)
+                c = classes[codes].astype("<u2")
+                if filled is not None:
+                    c[codes == edge + 1] = filled
+                path.append(c.tobytes())
+            yield batch[["k", "h", "held_out", "n_words", "known", "mass"]].assign(path=path)
+
+    return run
+
+
+def _class_pairs(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(n * n, np.int64)
         for batch in batches:
-            c = classes[_joined(batch, edge).astype(np.int64)]
-            total += np.bincount(c[:-1] * n + c[1:], minlength=n * n)
+            c = np.frombuffer(b"".join(batch["path"]), "<u2").astype(np.int64)
+            # one text's end and the next one's start are no pair
+            use = np.ones(len(c), bool)
+            use[np.cumsum([len(p) // 2 for p in batch["path"]], dtype=np.int64) - 1] = False
+            at = np.flatnonzero(use)
+            total += np.bincount(c[at] * n + c[at + 1], minlength=n * n)
         yield _blocks(_padded(total.reshape(n, n)))
 
     return run
 
 
-def _score(classes: np.ndarray, step: np.ndarray, edge: int):
+def _score(step: np.ndarray):
     """Sum of log10 P(class | class before) - log10 of the class's smoothed mass, over a text and its end."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mark = np.asarray([edge], np.uint16).tobytes()
         for batch in batches:
-            path = [classes[np.frombuffer(mark + c + mark, np.uint16)] for c in batch["codes"]]
-            yield batch[["k", "h", "held_out", "n_words", "known", "mass"]].assign(path=[float(step[p[:-1], p[1:]].sum()) for p in path])
+            path = [np.frombuffer(p, "<u2") for p in batch["path"]]
+            yield batch.assign(path=[float(step[p[:-1], p[1:]].sum()) for p in path])
 
     return run
 
@@ -268,43 +330,55 @@ def score_texts(docs: DataFrame, core: int = CORE, clustered: int = CLUSTERED, d
     ends = rows.filter("not held_out").count()
     n_tokens, v = (total["n"] or 0) + ends, total["v"] + (ends > 0)
     top = frequent_words(vocabulary, dictionary)
-    clustered = min(clustered, len(top), RARE - 1)
-    core, edge = min(core, clustered), RARE - 1
-    code = lambda i: i if i < clustered else RARE
-    known = spark.sparkContext.broadcast({w: (code(i), float(np.log10(n + ADD))) for i, (w, n) in enumerate(top)})
-    coded = ws.save(rows.mapInPandas(_code(known), CODED), "coded")
+    clustered = min(clustered, len(top))
+    core, edge, other = min(core, clustered), len(top), len(top) + 1
+    known = spark.sparkContext.broadcast({w: (i, float(np.log10(n + ADD))) for i, (w, n) in enumerate(top)})
+    coded = ws.save(rows.mapInPandas(_code(known, other), CODED), "coded")
     train = coded.filter("not held_out").select("codes")
-    # classes: the exchange's, one for words without a class (RARE), one for the edge of a text
+    # classes: those of the words, one for words of no training text, one for the edge of a text
     n = n_classes + 2
-    classes = np.full(1 << 16, n_classes, np.int64)
+    classes = np.full(other + 1, n_classes, np.int64)
     classes[edge] = n_classes + 1
-    matrix = "block int, cells binary"
+    matrix, logs = "block int, cells binary", np.zeros((2 * n, n_classes))
     if core:
         pairs = _sum_matrix(train.mapInPandas(_core_pairs(core), matrix), core, core)
         classes[:core] = Exchange(pairs, n_classes).run()
         near = _sum_matrix(train.mapInPandas(_contexts(classes, clustered, n, edge), matrix), clustered, 2 * n).astype(float)
         one = np.eye(n_classes)[classes[:core]]
-        after, before = one.T @ near[:core, n:] + SMOOTH, one.T @ near[:core, :n] + SMOOTH
-        like = near[core:, n:] @ np.log(after / after.sum(1, keepdims=True)).T + near[core:, :n] @ np.log(before / before.sum(1, keepdims=True)).T
-        classes[core:clustered] = np.argmax(like, 1)
-    steps = _sum_matrix(train.mapInPandas(_class_pairs(classes, n, edge), matrix), n, n).astype(float)
+        before, after = one.T @ near[:core, :n] + SMOOTH, one.T @ near[:core, n:] + SMOOTH
+        logs = np.log(np.concatenate([before / before.sum(1, keepdims=True), after / after.sum(1, keepdims=True)], 1)).T
+        classes[core:clustered] = np.argmax(near[core:] @ logs, 1)
+    # all other training words, by the classes around every occurrence
+    found = coded.filter("not held_out").select("codes", "rare").mapInPandas(_surroundings(spark.sparkContext.broadcast(classes), clustered, edge), "code int, word binary, near binary")
+    found = found.groupBy("code", "word").agg(F.collect_list("near").alias("near")).mapInPandas(_assign(logs), "code int, word binary, cls int")
+    found = ws.save(found, "word-classes")
+    late = found.filter("code >= 0").select("code", "cls").toPandas()  # words of the dictionary
+    classes = classes.copy()
+    classes[late["code"].to_numpy()] = late["cls"].to_numpy()
+    beyond = ws.save(found.filter("code < 0").join(vocabulary, "word").select("word", "n", "cls"), "beyond")
+    # words beyond the dictionary: their exact counts and their classes in the text's order
+    rare = coded.filter(F.size("rare") > 0).dropDuplicates(["k", "h"]).select("k", "h", F.posexplode("rare").alias("pos", "word"))
+    cls = F.struct("pos", F.coalesce("cls", F.lit(n_classes)).alias("cls"))
+    rare = rare.join(beyond, "word", "left").groupBy("k", "h").agg(
+        F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD))).alias("weight"),
+        F.sort_array(F.collect_list(cls))["cls"].alias("filled"))
+    rare = ws.save(rare, "rare")
+    whole = coded.drop("rare").join(rare.select("k", "h", "filled"), ["k", "h"], "left")
+    classed = ws.save(whole.mapInPandas(_classed(spark.sparkContext.broadcast(classes), edge), CLASSED), "classed")
+    steps = _sum_matrix(classed.filter("not held_out").select("path").mapInPandas(_class_pairs(n), matrix), n, n).astype(float)
     # a word's mass within its class: (c + ADD) / (tokens of the class + ADD * words of the class)
     count = np.array([c for _, c in top], float)
-    own = np.array([classes[code(i)] for i in range(len(top))], np.int64)
+    own = classes[: len(top)]
     mass = np.bincount(own, count, n) + ADD * np.bincount(own, minlength=n)
-    mass[n_classes] += (total["n"] or 0) - count.sum() + ADD * (total["v"] - len(top) + 1)  # words beyond the dictionary and one unseen
+    for r in beyond.groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect():
+        mass[r["cls"]] += r["n"] + ADD * r["words"]
+    mass[n_classes] += ADD  # one unseen word
     mass[n_classes + 1] = ends + ADD
-    # a text's edge before its first token is one class with its end; joined texts share it
+    # a text's edge before its first token is one class with its end
     chance = (steps + SMOOTH) / (steps + SMOOTH).sum(1, keepdims=True)
     step = np.log10(chance) - np.log10(np.maximum(mass, ADD))[None, :]
-    done = coded.mapInPandas(_score(classes, step, edge), "k long, h long, held_out boolean, n_words long, known long, mass double, path double")
-    # words beyond the dictionary: their exact counts
-    rare = coded.filter(F.size("rare") > 0).dropDuplicates(["k", "h"]).select("k", "h", F.explode("rare").alias("word"))
-    rare = rare.groupBy("k", "h", "word").agg(F.count(F.lit(1)).alias("times"))
-    rare = rare.join(vocabulary, "word", "left").groupBy("k", "h").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"),
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD))).alias("weight"))
-    out = done.join(rare, ["k", "h"], "left")
+    done = classed.mapInPandas(_score(step), "k long, h long, held_out boolean, n_words long, known long, mass double, path double")
+    out = done.join(rare.drop("filled"), ["k", "h"], "left")
     length = F.col("n_words") + 1
     numerators = F.col("mass") + F.coalesce("weight", F.lit(0.0)) + F.lit(float(np.log10(ends + ADD)))
     base = numerators - length * F.lit(float(np.log10(n_tokens + ADD * (v + 1))))

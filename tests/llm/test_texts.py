@@ -213,6 +213,23 @@ def test_scores_equal_brute_force(spark):
     assert better > 0.9 * len(texts)
 
 
+def test_words_beyond_the_core_have_classes(spark):
+    rng = random.Random(6)
+    nouns, verbs = [f"n{i}" for i in range(200)], [f"v{i}" for i in range(200)]
+    pick = lambda words: words[min(int(rng.expovariate(0.03)), 199)]
+    texts = [" ".join(w for _ in range(20) for w in (pick(nouns), pick(verbs))) for _ in range(400)]
+    held = [i for i in range(1000, 1300) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    # words beyond the dictionary in two orders: nouns and verbs in turn, or all nouns first
+    late = range(100, 120)
+    turns, apart = " ".join(f"n{i} v{i}" for i in late), " ".join([f"n{i}" for i in late] + [f"v{i}" for i in late])
+    rows = [(i, t) for i, t in enumerate(texts)] + [(held[0], turns), (held[1], apart)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for sizes in ((40, 50, 60), (40, 50, 1000)):
+        got = {r["doc_id"]: r for r in brown.score_texts(docs, *sizes, n_classes=4).collect()}
+        assert got[held[0]]["held_out"] and abs(got[held[0]]["base_score"] - got[held[1]]["base_score"]) < 1e-6
+        assert got[held[0]]["score"] > got[held[1]]["score"] + 5
+
+
 def test_exchange_finds_alternating_classes():
     rng = np.random.default_rng(0)
     pairs = np.zeros((20, 20))
