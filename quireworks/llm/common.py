@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,17 +34,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_recorder: contextvars.ContextVar[list[Workspace] | None] = contextvars.ContextVar("recorder", default=None)
+
+
+@contextlib.contextmanager
+def recording() -> Iterator[list[Workspace]]:
+    """Lists the Workspaces that are opened inside, so that they can be closed once what reads them is written."""
+    opened: list[Workspace] = []
+    token = _recorder.set(opened)
+    try:
+        yield opened
+    finally:
+        _recorder.reset(token)
+
+
 class Workspace:
     """Parquet tables under the shared folder that cut lineage between steps.
 
     A lost executor costs at most the step that runs: each step rereads its
-    input from these files.  ``drop`` removes tables no later step reads.
+    input from these files.  ``drop`` removes tables no later step reads,
+    ``close`` all of them.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        if (opened := _recorder.get()) is not None:
+            opened.append(self)
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -56,11 +76,16 @@ class Workspace:
         out.saved_path = path
         return out
 
+    def _delete(self, place: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark._jvm
         for frame in frames:
-            path = jvm.org.apache.hadoop.fs.Path(frame.saved_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(frame.saved_path)
+
+    def close(self) -> None:
+        self._delete(self.root)
 
 
 def key_of(column: str = "doc_id") -> Column:

@@ -9,7 +9,8 @@ number of rounds follows the logarithm of the longest repeated text.
 A round counts its digits with a partial aggregation (a hot group sends one
 row per task) and hands the counts back by an equi-join, which adaptive
 execution splits where a group is hot.  Texts leave the data flow as soon as
-their group is settled.
+their group is settled; those whose first digit a bitmap shows to be alone
+never enter a shuffle.
 """
 
 from __future__ import annotations
@@ -46,13 +47,16 @@ def exact_classes(docs: DataFrame, carry: list[Column] | None = None, id_col: st
         count = now.groupBy(*keys, "digit").agg(F.count(F.lit(1)).alias("size"), F.max("id").alias("g"))
         # written before it is used: the numbers of the groups must not change when a task runs again
         count = ws.save(count.filter("size > 1").withColumn("next", F.monotonically_increasing_id()), f"groups{depth}")
-        if not depth:  # texts that are surely alone are left behind
-            now = mark_possible(now, count, [*keys, "digit"], "maybe").withColumn("b", F.when(F.col("maybe"), F.col("b"))).drop("maybe")
+        if not depth:  # texts that are surely alone stay where they are
+            now = mark_possible(now, count, [*keys, "digit"], "maybe")
+            parts.append(now.filter("not maybe").select("id", "extra", F.lit(1).cast("long").alias("size"), F.col("id").alias("g")))
+            now = now.filter("maybe").drop("maybe")
         joined = now.join(count, [*keys, "digit"], "left")
         ended = F.col("size").isNull() | (F.col("n") <= depth + width)
         joined = joined.select("id", "extra", "n", "size", "g", F.col("next").alias("group"), ended.alias("ended"), F.when(~ended, F.col("b")).alias("b"))
         joined = ws.save(joined, f"round{depth}")
-        ws.drop(count)
+        if depth:  # the first round's count is read again for the rows that stay aside
+            ws.drop(count)
         parts.append(joined.filter("ended").select(
             "id", "extra", F.coalesce("size", F.lit(1)).cast("long").alias("size"),
             F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("g")).alias("g")))
@@ -69,10 +73,12 @@ def exact_classes(docs: DataFrame, carry: list[Column] | None = None, id_col: st
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` (``doc_id``, ``text``, ...) for one row of each class of equal texts.
 
-    Of rows that repeat identifier and text, the first by the other columns stays.
+    Of rows that repeat identifier and text, the smallest by the other columns stays
+    (null and empty texts are one text; columns that have no order do not count).
     """
     found = exact_classes(docs, [F.struct(*docs.columns).alias("row")])
-    # equal texts that share an identifier too are rare: only classes of several rows are looked at again
+    # equal texts that share an identifier too: only classes of several rows are looked at again
     alone = found.filter("kept and group_size = 1").select("row.*")
-    several = found.filter("kept and group_size > 1").select("row.*").dropDuplicates(["doc_id", "text"])
-    return alone.unionByName(several)
+    ordered = [F.col(f"row.`{f.name}`") for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
+    several = found.filter("kept and group_size > 1").groupBy(F.col("doc_id").alias("_id"), text_bytes("row.text").alias("_text"))
+    return alone.unionByName(several.agg(F.min_by("row", F.struct(*ordered)).alias("row")).select("row.*"))
