@@ -183,7 +183,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Trees
     """
     # at most `limit` pairs of a number and a flag
     picked = F.broadcast(sample_labels(labels, limit))
-    rows = docs.join(picked, "doc_id").select("doc_id", "bad", text_bytes().alias("b")).dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", text_bytes().alias("b")).join(picked, "doc_id").dropDuplicates(["doc_id"])
     found = _measured(rows, ["doc_id", "bad"], {"doc_id": "long", "bad": "boolean"}).toPandas().sort_values("doc_id")
     y = found["bad"].to_numpy(float)
     if len(found) < SPLIT or y.min() == y.max():
@@ -208,8 +208,8 @@ def _measured(rows: DataFrame, keep: list[str], types: dict[str, str]) -> DataFr
 VERDICT = ", ".join([*(f"{c} long" for c in COUNTS), "poor double"])
 
 
-def judge(docs: DataFrame, model: Trees | None) -> DataFrame:
-    """``docs`` with ``verdict`` (struct of COUNTS, poor, base_failed, kept); rows and columns stay, but for a column of that name.
+def judge(docs: DataFrame, model: Trees | None, into: str = "verdict") -> DataFrame:
+    """``docs`` with the struct ``into`` (COUNTS, poor, base_failed, kept); rows and columns stay, but for a column of that name.
 
     A document fails the base rule with under 50 words, or if more than half of
     its words lie in 3-word windows found twice or more.  Else it goes if the
@@ -223,7 +223,7 @@ def judge(docs: DataFrame, model: Trees | None) -> DataFrame:
             return out.assign(poor=0.0)
         return out.assign(poor=1 / (1 + np.exp(-model.score(np.array([f[1] for f in found])))))
 
-    out = docs.withColumn("verdict", measure(text_bytes()))
-    failed: Column = (F.col("verdict.n_words") < 50) | (100 * F.col("verdict.n_repeat_words") > 50 * F.col("verdict.n_words"))
-    out = out.withColumn("verdict", F.col("verdict").withField("base_failed", failed))
-    return out.withColumn("verdict", F.col("verdict").withField("kept", ~F.col("verdict.base_failed") & (F.col("verdict.poor") < REJECT)))
+    out = docs.withColumn(into, measure(text_bytes()))
+    failed: Column = (F.col(f"{into}.n_words") < 50) | (100 * F.col(f"{into}.n_repeat_words") > 50 * F.col(f"{into}.n_words"))
+    out = out.withColumn(into, F.col(into).withField("base_failed", failed))
+    return out.withColumn(into, F.col(into).withField("kept", ~F.col(f"{into}.base_failed") & (F.col(f"{into}.poor") < REJECT)))
