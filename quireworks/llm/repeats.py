@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import NULL_KEY, Workspace, key_of, mark_possible, matching, text_bytes
 
 THRESHOLD, DIGIT, BLOCK = 400, 48, 24
+#: Bytes of a passage of 50 words, at four letters and a space each.
+PASSAGE = 50 * 5
 #: Keeps seeds positive: no block lies so many blocks behind its anchor.
 FAR = 1 << 20
 #: Bytes of a text that one pass hashes at a time; windows do not stop at its edges.
@@ -266,30 +268,30 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
 
 
 def removal_report(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
+    """Per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, text``.
 
-    A null text counts as empty and a null doc_id stays null; rows that repeat
+    ``text`` is what is left, without the bytes of characters that a cut parts.  A null text counts as empty and a null doc_id stays null; rows that repeat
     doc_id and text stand for texts of their own, and each has its row.
     """
     ws = Workspace(docs.sparkSession, "repeats")
     rows = bare(keyed(docs.select("doc_id", "text")))
-    spans, texts = repeated_spans(rows, ws, threshold, digit)
-    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    spans, _ = repeated_spans(rows, ws, threshold, digit)
+    spans = spans.select(F.col("k").alias("k2"), F.col("h").alias("h2"), "spans")
+    out = "k long, n_bytes long, n_removed long, n_spans long, kept binary, text string"
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            runs = [merge(s, threshold) for s in batch["spans"]]
+            runs = [merge(s, threshold) if s is not None else [] for s in batch["spans"]]
             kept = [cut_out(t, r) for t, r in zip(batch["b"], runs, strict=True)]
             size = [len(t) for t in batch["b"]]
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"), "n_bytes": size, "n_removed": [n - len(x) for n, x in zip(size, kept, strict=True)],
-                "n_spans": [len(r) for r in runs], "kept": kept})
-
-    doc = F.when(F.col("k") != F.lit(NULL_KEY), F.col("k")).alias("doc_id")
-    hit = texts.join(spans, ["k", "h"]).select(doc, "b", "spans").mapInPandas(cut, out)
-    hit = hit.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    rest = rows.select("k", "h", F.octet_length("b").cast("long").alias("n_bytes"), F.sha2("b", 256).alias("kept_sha256"))
-    rest = rest.join(spans.select("k", "h"), ["k", "h"], "left_anti")
+                "k": batch["k"], "n_bytes": size, "n_removed": [n - len(x) for n, x in zip(size, kept, strict=True)],
+                "n_spans": [len(r) for r in runs], "kept": kept, "text": [x.decode("utf-8", "ignore") for x in kept]})
+
+    # documents that surely have no span stay where they are
+    rows = mark_possible(rows.withColumns({"k2": F.col("k"), "h2": F.col("h")}), spans, ["k2", "h2"], "maybe")
+    hit = rows.filter("maybe").join(spans, ["k2", "h2"], "left").select("k", "b", "spans").mapInPandas(cut, out)
     zero = F.lit(0).cast("long")
-    rest = rest.select(doc, "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256")
-    return rest.unionByName(hit)
+    rest = rows.filter("not maybe").select("k", F.octet_length("b").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("b").alias("kept"), F.col("b").cast("string").alias("text"))
+    return rest.unionByName(hit).select(
+        F.when(F.col("k") != F.lit(NULL_KEY), F.col("k")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "text")

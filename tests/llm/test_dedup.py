@@ -98,6 +98,7 @@ def test_repeats_equal_brute_force(spark, seed):
         runs = sum(1 for j, c in enumerate(cover) if c and not (j and cover[j - 1]))
         want = (len(raw[i]), sum(cover), runs, hashlib.sha256(kept).hexdigest())
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == want, i
+        assert got[i]["text"] == kept.decode("utf-8", "ignore")
 
 
 def test_repeats_across_steps(monkeypatch):
