@@ -2,61 +2,53 @@
 
 A text is the weighted set of its five-word shingles; a shingle weighs its
 frequency in the text times its inverse document frequency over all texts.
-Document frequencies are counted per hash bucket (feature hashing), so their
-table has a fixed size.
+Document frequencies are exact for every shingle that at least the share FLOOR
+of the texts hold; rarer ones weigh as if that share held them.  So at most
+(shingles of an average text) / FLOOR numbers are ever gathered, whatever the
+table's size, and a weight means the same at every size.
 
-Each shingle is sampled once, in the bin its hash picks (one-permutation
-hashing); a bin's sample is its smallest consistent weighted sample, and empty
-bins borrow from the next one.  ROWS bins make a band.  Texts that share a band
-are candidates, and weighted Jaccard similarity of whole texts decides.
+Each text has BANDS x ROWS consistent weighted samples of its own.  Texts that
+share a band are candidates, and weighted Jaccard similarity of whole texts
+decides.
 
 Within a band's bucket no pairs are spelled out: members are compared with one
-hub, and verified links join classes.  Only members outside their bucket's
-largest class meet the bucket's members of other classes, inside a join whose
-condition compares sketches, so no pair that could link two classes is left out
-and only likely ones become rows.
+hub, and verified links join classes.  Where a bucket's members are left in
+several classes, the members outside its largest class are joined with those of
+all open buckets by prefix filtering, which is exact: texts of the least
+similarity share a shingle among the first of each, in any one order, that weigh
+more than the rest may.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_KEY, Workspace, key_of, mark_possible, matching, text_bytes
+from .wordhash import WordHasher, mix, steps
 
 SHINGLE, SIMILAR = 5, 0.8
-BANDS, ROWS = 24, 6
-BINS = BANDS * ROWS
-#: Document frequencies are counted in 2**FREQUENCY_BITS buckets.
-FREQUENCY_BITS = 18
-REMEMBERED = 400_000
-#: Rows that one vectorised step samples, about.
-CHUNK = 200_000
-#: A pair is not compared in full if the share of equal bins, among those that either text fills itself, lies so many
-#: standard deviations under the least similarity.  Bins count alike, so texts whose shingles weigh more than HEAVY on
-#: average (some occur many times) are always compared.
-SPREAD, HEAVY = 5.5, 2.5
+#: At similarity 0.8 a pair shares a band with probability 1 - (1 - 0.8^4)^12 = 0.998.
+BANDS, ROWS = 12, 4
+SAMPLES = BANDS * ROWS
+#: Shingles that a smaller share of the texts hold weigh as if this share held them.
+FLOOR = 0.001
+#: Distinct shingles are counted in 2**SKETCH_BITS cells first, to tell which may reach FLOOR; sent in blocks of CELLS.
+SKETCH_BITS, CELLS = 21, 4096
+FLUSH = 1 << 21
 
 _PUNCTUATION = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _WEIGHTS = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 2**64) | 1) for i in range(max(SHINGLE, ROWS))]
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (splitmix)."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * _M1
-        x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+_M = np.uint64(0x94D049BB133111EB)
 
 
 class Shingler:
-    """Distinct shingle hashes of a text and how often each occurs.
+    """Distinct shingle hashes of texts and how often each occurs.
 
     Words are lower-cased; ASCII punctuation and white space part them.  A text
     of fewer words than a shingle has one shingle of all of them; a text without
@@ -64,160 +56,296 @@ class Shingler:
     """
 
     def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        words = text.decode("utf-8", "replace").lower().encode().translate(_PUNCTUATION).split()
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        n = len(words)
-        if not n:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        a = np.fromiter(map(known.__getitem__, words), np.uint64, n)
+        self.words = WordHasher()
+
+    @staticmethod
+    def plain(text: bytes) -> bytes:
+        text = text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
+        return text.translate(_PUNCTUATION)
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(shingles, counts, number of distinct shingles of each text); shingles rise within a text."""
+        a, n = self.words([self.plain(t) for t in texts])
+        upto = np.cumsum(n)
+        sizes = np.maximum(n - SHINGLE + 1, np.minimum(n, 1))
+        ends = np.cumsum(sizes)
+        h = np.zeros(int(sizes.sum()), np.uint64)
         with np.errstate(over="ignore"):
-            if n < SHINGLE:
-                h = sum(a[i : i + 1] * _WEIGHTS[i] for i in range(n)) + np.uint64(n)
-            else:
-                h = a[: n - SHINGLE + 1] * _WEIGHTS[0]
+            if len(a) >= SHINGLE:
+                m = len(a) - SHINGLE + 1
+                rolled = a[:m] * _WEIGHTS[0]
                 for i in range(1, SHINGLE):
-                    h = h + a[i : n - SHINGLE + 1 + i] * _WEIGHTS[i]
-        return np.unique(mix(h), return_counts=True)
+                    rolled = rolled + a[i : m + i] * _WEIGHTS[i]
+                rolled = mix(rolled)
+            for size, end, last, words in zip(sizes.tolist(), ends.tolist(), upto.tolist(), n.tolist(), strict=True):
+                if words >= SHINGLE:
+                    part = h[end - size : end]
+                    part[:] = rolled[last - words : last - words + size]
+                    part.sort()
+                elif words:
+                    h[end - 1] = mix(sum(a[last - words + i : last - words + i + 1] * _WEIGHTS[i] for i in range(words)) + np.uint64(words))[0]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        new[(ends - sizes)[sizes > 0]] = True
+        at = np.flatnonzero(new)
+        return h[at], np.diff(at, append=len(h)), np.diff(np.searchsorted(at, ends), prepend=0)
 
 
-def idf(frequency: np.ndarray, n_texts: int) -> np.ndarray:
-    """Smoothed inverse document frequencies between 1 (in every text) and 2 (in none)."""
-    return 1 + np.log((n_texts + 1) / (frequency + 1)) / np.log(n_texts + 2)
+def idf(share: np.ndarray) -> np.ndarray:
+    """Inverse document frequencies between 1 (in every text) and 2 (in the share FLOOR of the texts or less)."""
+    return 1 + np.log(np.maximum(share, FLOOR)) / np.log(FLOOR)
 
 
-def _uniform(h: np.ndarray, seed: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = mix(h + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64))
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
+class Frequencies:
+    """Exact document frequencies of the shingles that reach FLOOR, as weights; and the sketch's cells, for an order."""
+
+    def __init__(self, shingles: np.ndarray, counts: np.ndarray, texts: int, cells: np.ndarray):
+        order = np.argsort(shingles)
+        self.shingles, self.factors = shingles[order], idf(counts[order] / max(texts, 1))
+        self.cells = cells
+
+    def weights(self, h: np.ndarray, n: np.ndarray) -> np.ndarray:
+        if not len(self.shingles):
+            return n * 2.0
+        at = np.minimum(np.searchsorted(self.shingles, h), len(self.shingles) - 1)
+        return n * np.where(self.shingles[at] == h, self.factors[at], 2.0)
+
+    def cell(self, h: np.ndarray) -> np.ndarray:
+        return self.cells[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+
+
+def _gamma(u: np.ndarray) -> np.ndarray:
+    """Quantiles of the Gamma(2, 1) distribution."""
+    x = np.geomspace(1e-6, 60, 1_000_001)
+    lower = np.where(x < 1e-3, x * x / 2 - x**3 / 3, 1 - (1 + x) * np.exp(-x))
+    return np.interp(u, lower, x)
 
 
-def sample(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a, t) of Ioffe's scheme for shingles and weights: the smallest a is the sample, (shingle, t) its name."""
-    r = -np.log(_uniform(h, 1) * _uniform(h, 2))
-    c = -np.log(_uniform(h, 3) * _uniform(h, 4))
-    beta = _uniform(h, 5)
-    t = np.floor(np.log(weight) / r + beta)
-    return np.log(c) - r * (t - beta) - r, t.astype(np.int64)
+#: r and beta in 256 steps of equal probability each; 16 bits name both.
+_R = np.repeat(_gamma((np.arange(256) + 0.5) / 256), 256)
+_BETA = np.tile((np.arange(256) + 0.5) / 256, 256)
+#: log(c) by the upper 17 bits of a 32-bit number as float: steps of 1/256 of the number, down to 2^-32.
+_LOG_C = np.log(_gamma(np.clip((np.arange(160 << 8, dtype=np.int32) << 15).view(np.float32) * (1 + 2.0**-9) * 2.0**-32, 2.0**-33, 1 - 2.0**-10))).astype(np.float32)
+_SEEDS = mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
 
-def band_keys(text_of: np.ndarray, h: np.ndarray, weight: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(band keys, bin values) of shingles ``h`` of texts numbered ``text_of``; rows without shingles are zero.
+def _steps(log_weight: np.ndarray | float, rb: np.ndarray) -> np.ndarray:
+    return np.floor(log_weight / _R[rb] + _BETA[rb])
 
-    A bin without a shingle has the value 0, so that a borrowed value counts once.
+
+def _lift(log_weight: np.ndarray | float, rb: np.ndarray) -> np.ndarray:
+    return (_R[rb] * (_steps(log_weight, rb) - _BETA[rb] + 1)).astype(np.float32)
+
+
+#: r (t - beta + 1) of the weight that most shingles have.
+_PLAIN = _lift(np.log(2.0), np.arange(1 << 16))
+
+
+def samples(h: np.ndarray, weight: np.ndarray, sizes: np.ndarray, number: int = SAMPLES) -> np.ndarray:
+    """``number`` consistent weighted samples of each text, as 64-bit names; ``sizes`` shingles a text, 1 at least.
+
+    Ioffe's scheme: r and c follow Gamma(2, 1), beta is uniform, all made from a
+    shingle's hash; t = floor(log(weight) / r + beta), and the shingle of the
+    smallest log(c) - r (t - beta + 1) is sampled with its t.
     """
-    a, t = sample(h, weight)
-    bin_ = (mix(h ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(BINS)).astype(np.int64)
-    place = text_of * BINS + bin_
-    order = np.lexsort((h, a, place))
-    first = order[np.flatnonzero(np.diff(place[order], prepend=-1))]
+    first = np.cumsum(sizes) - sizes
+    other = np.flatnonzero(weight != 2.0)
+    log_other = np.log(weight[other])
+    out = np.zeros((len(sizes), number), np.uint64)
     with np.errstate(over="ignore"):
-        name = mix(h[first] + mix(t[first].astype(np.uint64)))
-    cells, full = np.zeros(n_texts * BINS, np.uint64), np.zeros(n_texts * BINS, bool)
-    cells[place[first]], full[place[first]] = name, True
-    cells, full = cells.reshape(n_texts, BINS), full.reshape(n_texts, BINS)
-    # an empty bin borrows from the next full one, marked with the distance
-    at = np.where(np.tile(full, (1, 2)), np.arange(2 * BINS), 4 * BINS)
-    nearest = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :BINS]
-    some = full.any(1)
-    away = np.where(some[:, None], nearest - np.arange(BINS), 0)
+        for j in range(number):
+            x = h * _SEEDS[2 * j]
+            x ^= x >> np.uint64(32)
+            x *= _SEEDS[2 * j + 1]
+            rb = x.view(np.uint16)[1::4].astype(np.intp)
+            c = x.view(np.uint32)[1::2].astype(np.float32).view(np.int32)
+            c >>= 15
+            a = _LOG_C.take(c)
+            lift = _PLAIN.take(rb)
+            if len(other):
+                lift[other] = _lift(log_other, rb[other])
+            a -= lift
+            hit = np.flatnonzero(a == np.repeat(np.minimum.reduceat(a, first), sizes))
+            hit = hit[np.searchsorted(hit, first)]  # the first of each text
+            t = _steps(np.log(weight[hit]), rb[hit]).astype(np.int64).view(np.uint64)
+            out[:, j] = mix(h[hit] + mix(t + np.uint64(j)))
+    return out
+
+
+def band_keys(names: np.ndarray) -> np.ndarray:
+    """One key for each band of samples."""
     with np.errstate(over="ignore"):
-        cells = np.take_along_axis(cells, np.where(some[:, None], nearest % BINS, 0), 1) + away.astype(np.uint64) * _M1
-        keys = np.zeros((n_texts, BANDS), np.uint64)
+        keys = np.zeros((len(names), BANDS), np.uint64)
         for i in range(ROWS):
-            keys = mix(keys + cells[:, i::ROWS] * _WEIGHTS[i])
-        keys = keys + np.arange(1, BANDS + 1, dtype=np.uint64) * _M2
-        own = (mix(cells + (np.arange(BINS, dtype=np.uint64) + np.uint64(1)) * _M1) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    return np.where(some[:, None], keys, np.uint64(0)), np.where(full, own, np.uint32(0))
+            keys = mix(keys + names[:, i::ROWS] * _WEIGHTS[i])
+        return keys + np.arange(1, BANDS + 1, dtype=np.uint64) * _M
 
 
-def sketch(own: np.ndarray) -> tuple[list[list[int]], list[list[int]]]:
-    """(values of the bins that hold a shingle, bitmap of these bins in 64-bit words) of each row of bin values."""
-    bits = np.zeros((len(own), -(-BINS // 64) * 64), np.uint8)
-    bits[:, :BINS] = own != 0
-    words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
-    return [v[v != 0].view(np.int32).tolist() for v in own], words.tolist()
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    shingles, total, held, n, texts = Shingler(), np.zeros(1 << SKETCH_BITS, np.int32), [], 0, 0
 
+    def add() -> None:
+        nonlocal n
+        if held:
+            total[:] += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.int32)
+        held.clear()
+        n = 0
 
-def likely(a: str, b: str, least: float) -> Column:
-    """Whether the sketches (columns s, f and weight over shingles u, suffixed ``a`` and ``b``) leave ``least`` possible."""
-    either = sum((F.bit_count(F.col("f" + a)[i].bitwiseOR(F.col("f" + b)[i])) for i in range(-(-BINS // 64))), F.lit(0))
-    bound = F.lit(float(least)) * either - F.lit(SPREAD * float(np.sqrt(least * (1 - least)))) * F.sqrt(either.cast("double"))
-    return (F.greatest("u" + a, "u" + b) > HEAVY) | (F.size(F.array_intersect("s" + a, "s" + b)) >= bound)
+    for batch in batches:
+        found = batch["b"].tolist()
+        texts += len(found)
+        for a, b in steps(found):
+            cell = (shingles(found[a:b])[0] >> np.uint64(64 - SKETCH_BITS)).astype(np.int32)
+            held.append(cell)
+            n += len(cell)
+            if n > FLUSH:
+                add()
+    add()
+    rows = [(i, zlib.compress(part.tobytes(), 1)) for i, part in enumerate(total.reshape(-1, CELLS)) if part.any()]
+    yield pd.DataFrame([*rows, (-1, str(texts).encode())], columns=["block", "cells"])
+
+
+def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total: dict[int, np.ndarray] = {}
+    texts = 0
+    for batch in batches:
+        for block, cells in zip(batch["block"].tolist(), batch["cells"], strict=True):
+            if block < 0:
+                texts += int(cells)
+            else:
+                part = np.frombuffer(zlib.decompress(cells), np.int32)
+                total[block] = total[block] + part if block in total else part.astype(np.int64)
+    # counts are sent on as 32-bit numbers: cells beyond that are far over every bound
+    rows = [(i, zlib.compress(np.minimum(part, 2**31 - 1).astype(np.int32).tobytes(), 1)) for i, part in total.items()]
+    yield pd.DataFrame([*rows, (-1, str(texts).encode())], columns=["block", "cells"])
 
 
-def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    shingles, total, texts = Shingler(), np.zeros(1 << FREQUENCY_BITS, np.int64), 0
-    for batch in batches:
-        for text in batch["b"]:
-            found = shingles(text)[0]
-            # a bucket counts a text once
-            total[np.unique(found >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)] += 1
-        texts += len(batch)
-    at = np.flatnonzero(total)
-    yield pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(total[at], texts)})
+def _common(shared):
+    """Shingles in cells that may reach FLOOR, and how many texts hold each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles, heavy, held, n = Shingler(), np.unpackbits(shared.value).astype(bool), [], 0
+
+        def counted() -> pd.DataFrame:
+            h, count = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pd.DataFrame({"h": h.view(np.int64), "n": count})
+
+        for batch in batches:
+            found = batch["b"].tolist()
+            for a, b in steps(found):
+                h = shingles(found[a:b])[0]
+                held.append(h[heavy[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]])
+                n += len(held[-1])
+                if n > FLUSH:
+                    yield counted()
+                    n = 0
+        if held:
+            yield counted()
+
+    return run
+
+
+def frequencies(rows: DataFrame) -> Frequencies:
+    """Document frequencies of the texts ``rows`` (b).
+
+    The sketch never counts too little, so a shingle of the share FLOOR lies in
+    a heavy cell; the shingles of heavy cells are then counted exactly.  The
+    driver gets 2**SKETCH_BITS numbers and at most (shingles of an average text)
+    / FLOOR shingles.
+    """
+    spark = rows.sparkSession
+    parts = rows.mapInPandas(_counted, "block int, cells binary")
+    parts = parts.repartition(32, "block").mapInPandas(_summed, "block int, cells binary")
+    cells, texts = np.zeros((1 << SKETCH_BITS) // CELLS * CELLS, np.int32).reshape(-1, CELLS), 0
+    for row in parts.collect():
+        if row["block"] < 0:
+            texts += int(row["cells"])
+        else:
+            cells[row["block"]] = np.frombuffer(zlib.decompress(row["cells"]), np.int32)
+    cells = cells.reshape(-1)
+    least = max(1, int(np.ceil(FLOOR * texts)))
+    heavy = cells >= least
+    if not heavy.any():
+        return Frequencies(np.zeros(0, np.uint64), np.zeros(0), texts, cells)
+    shared = spark.sparkContext.broadcast(np.packbits(heavy))
+    found = rows.mapInPandas(_common(shared), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
+    return Frequencies(found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(float), texts, cells)
 
 
 def _signatures(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, factor = Shingler(), shared.value
+        shingles, known = Shingler(), shared.value
         for batch in batches:
-            texts, at = batch["b"].tolist(), 0
-            while at < len(texts):
-                hs, counts, sizes = [], [], []
-                while at < len(texts) and sum(sizes) < CHUNK and len(sizes) < 4000:
-                    h, n = shingles(texts[at])
-                    hs.append(h)
-                    counts.append(n)
-                    sizes.append(len(h))
-                    at += 1
-                h, n = np.concatenate(hs), np.concatenate(counts)
-                weight = n * factor[(h >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)]
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                keys, kept = band_keys(owner, h, weight, len(sizes))
-                keys, (values, filled) = keys.view(np.int64), sketch(kept)
-                part = batch.iloc[at - len(sizes) : at]
+            texts = batch["b"].tolist()
+            for a, b in steps(texts):
+                h, n, sizes = shingles(texts[a:b])
+                weight, some = known.weights(h, n), sizes > 0
+                keys = band_keys(samples(h, weight, sizes[some])).view(np.int64).tolist() if some.any() else []
+                keys = iter(keys)
+                part = batch.iloc[a:b]
                 yield pd.DataFrame({
-                    "k": part["k"].to_numpy(), "text_hash": part["text_hash"].to_numpy(),
-                    "bands": [k.tolist() if s else [] for k, s in zip(keys, sizes, strict=True)], "sketch": values, "filled": filled,
-                    "weight": np.bincount(owner, weight, len(sizes)), "shingles": sizes})
+                    "k": part["k"].to_numpy(), "text_hash": part["text_hash"].to_numpy(), "bands": [next(keys) if s else [] for s in some],
+                    "weight": np.bincount(np.repeat(np.arange(len(sizes)), sizes), weight, len(sizes))})
 
     return run
 
 
 def _similar(shared, least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, factor = Shingler(), shared.value
-        held: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        shingles, known = Shingler(), shared.value
+        held: dict[bytes, tuple[np.ndarray, np.ndarray, float]] = {}
 
-        def weighted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        def weighted(text: bytes) -> tuple[np.ndarray, np.ndarray, float]:
             if (found := held.get(text)) is None:
-                h, n = shingles(text)
-                found = h, n * factor[(h >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)]
+                h, n, _ = shingles([text])
+                w = known.weights(h, n)
                 if len(held) >= 64:
                     held.clear()
-                held[text] = found
+                found = held[text] = h, w, w.sum()
             return found
 
         for batch in batches:
             out = np.zeros(len(batch))
             for i, (x, y) in enumerate(zip(batch["x"], batch["y"], strict=True)):
-                (h, w), (g, v) = weighted(x), weighted(y)
-                _, a, b = np.intersect1d(h, g, assume_unique=True, return_indices=True)
-                both = np.minimum(w[a], v[b]).sum()
-                out[i] = both / max(w.sum() + v.sum() - both, 1e-300)
+                (h, w, hw), (g, v, gv) = weighted(x), weighted(y)
+                at = np.searchsorted(h, g)
+                at[at == len(h)] = 0
+                same = h[at] == g if len(h) else np.zeros(len(g), bool)
+                both = np.minimum(w[at[same]], v[same]).sum()
+                out[i] = both / max(hw + gv - both, 1e-300)
             keep = out >= least
             yield pd.DataFrame({"a": batch["a"][keep], "b": batch["b"][keep], "similarity": out[keep]})
 
     return run
 
 
+def _prefixes(shared, least: float):
+    """The first shingles of each text by (cell of the sketch, hash), until the rest weighs under ``least`` of the text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles, known = Shingler(), shared.value
+        for batch in batches:
+            texts = batch["b"].tolist()
+            for a, b in steps(texts):
+                h, n, sizes = shingles(texts[a:b])
+                weight, owner = known.weights(h, n), np.repeat(np.arange(len(sizes)), sizes)
+                order = np.lexsort((h, known.cell(h), owner))
+                before = np.cumsum(weight[order]) - weight[order]
+                first = np.cumsum(sizes) - sizes
+                before -= np.repeat(before[np.minimum(first, max(len(h) - 1, 0))], sizes) if len(h) else 0
+                total = np.bincount(owner, weight, len(sizes))[owner]
+                # a shingle is in the prefix as long as it and what follows weigh enough
+                keep = order[total - before >= (least - 1e-6) * total]
+                part = batch.iloc[a:b]
+                of = owner[keep]
+                yield pd.DataFrame({
+                    "h": h[keep].view(np.int64), "rep": part["rep"].to_numpy()[of], "label": part["label"].to_numpy()[of],
+                    "weight": part["weight"].to_numpy()[of], "rest": part["rest"].to_numpy()[of]})
+
+    return run
+
+
 def connected(edges: DataFrame, ws: Workspace) -> DataFrame:
     """``id, label``: the smallest id of each connected component of ``edges`` (a, b), for ids with an edge.
 
@@ -246,7 +374,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     smallest of the class: texts joined by links of similarity ``least`` or more,
     found by the bands.  Equal texts share a class, empty and null ones too.  A
     null doc_id is smaller than any other, so its class has a null class_id.
-    Rows that repeat a doc_id count each.
+    Rows that repeat a doc_id count each.  Texts of any length are taken whole;
+    an empty table gives an empty result.
     """
     named = _classes(docs, least)
     classes = named.groupBy("label").agg(F.min("k").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
@@ -259,15 +388,10 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     rows = docs.select(key_of().alias("k"), text_bytes().alias("b"))
     spark = docs.sparkSession
     ws = Workspace(spark, "near")
-    frequency = rows.mapInPandas(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    table = frequency.toPandas()  # at most 2**FREQUENCY_BITS + 1 rows
-    counts = np.zeros(1 << FREQUENCY_BITS)
-    inside = table["bucket"] >= 0
-    counts[table["bucket"][inside].to_numpy()] = table["n"][inside].to_numpy()
-    shared = spark.sparkContext.broadcast(idf(counts, int(table["n"][~inside].sum())))
+    shared = spark.sparkContext.broadcast(frequencies(rows.select("b")))
 
     hashed = rows.select("k", "b", F.sha2("b", 256).alias("text_hash"))
-    signs = ws.save(hashed.mapInPandas(_signatures(shared), "k long, text_hash string, bands array<long>, sketch array<int>, filled array<long>, weight double, shingles int"), "signatures")
+    signs = ws.save(hashed.mapInPandas(_signatures(shared), "k long, text_hash string, bands array<long>, weight double"), "signatures")
     # equal texts become one representative before anything is paired
     reps = signs.groupBy("text_hash").agg(F.min("k").alias("k"), F.min(F.struct("bands", "weight")).alias("s"))
     # numbered when written, so a number stays with its text whatever runs again
@@ -299,20 +423,22 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     links = ws.save(verify(star.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()), "links")
     labels = connected(links, ws)
     now = ws.save(members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled")
+    ws.drop(meets, several)
     # buckets whose members are in several classes, with the largest one
     sizes = now.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("n"))
     open_ = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("classes"))
     open_ = ws.save(open_.filter("classes > 1").select("band", "key", F.col("most.label").alias("main")), "open")
-    now = ws.save(matching(now, open_.select("band", "key"), ["band", "key"]), "open-members")
-    sketches = matching(signs, ws.save(matching(held, now.select("rep").distinct(), ["rep"]), "open-held"), ["k", "text_hash"])
-    sketches = sketches.join(held, ["k", "text_hash"]).select("rep", "sketch", "filled", (F.col("weight") / F.col("shingles")).alias("mean"))
-    now = ws.save(now.join(sketches.dropDuplicates(["rep"]), "rep"), "sketched")
-    rest = now.join(open_, ["band", "key"]).filter("label != main").drop("main")
-    one = rest.select("band", "key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("weight").alias("wa"), F.col("sketch").alias("sa"), F.col("filled").alias("fa"), F.col("mean").alias("ua"))
-    two = now.select(F.col("band").alias("band2"), F.col("key").alias("key2"), F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("weight").alias("wb"), F.col("sketch").alias("sb"), F.col("filled").alias("fb"), F.col("mean").alias("ub"))
-    pairs = one.join(two, (F.col("band") == F.col("band2")) & (F.col("key") == F.col("key2")) & (F.col("la") != F.col("lb")) & near_weight(F.col("wa"), F.col("wb")) & likely("a", "b", least))
+    # every text of an open bucket once, and whether it is outside the largest class of one
+    inside = now.join(open_, ["band", "key"]).groupBy("rep").agg(F.min("label").alias("label"), F.min("weight").alias("weight"), F.max(F.col("label") != F.col("main")).alias("rest"))
+    inside = ws.save(inside, "inside")
+    firsts = ws.save(texts.join(inside, "rep").select("rep", "label", "weight", "rest", "b").mapInPandas(
+        _prefixes(shared, least), "h long, rep long, label long, weight double, rest boolean"), "prefixes")
+    one = firsts.filter("rest").select("h", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("weight").alias("wa"))
+    two = matching(firsts, ws.save(one.select("h").distinct(), "prefix-shingles"), ["h"]).select("h", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("weight").alias("wb"))
+    pairs = one.join(two, "h").filter((F.col("la") != F.col("lb")) & near_weight(F.col("wa"), F.col("wb")))
     more = verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = connected(ws.save(links.unionByName(more), "links"), ws)
+    ws.drop(texts, firsts, members, now)
     named = signs.select("k", "text_hash").join(reps.select("text_hash", "rep", F.col("k").alias("rep_id")), "text_hash")
     return named.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("k", "text_hash", "rep_id", F.coalesce("label", "rep").alias("label"))
 
