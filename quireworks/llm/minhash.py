@@ -14,9 +14,9 @@ decides.
 Within a band's bucket no pairs are spelled out: members are compared with one
 hub, and verified links join classes.  Where a bucket's members are left in
 several classes, the members outside its largest class are joined with those of
-all open buckets by prefix filtering, which is exact: texts of the least
-similarity share a shingle among the first of each, in any one order, that weigh
-more than the rest may.
+all open buckets by prefix filtering, which is exact: in any one order of shingles,
+what two texts share lies behind their first common shingle, so that shingle is
+among the first of each, and what follows it weighs enough in both.
 """
 
 from __future__ import annotations
@@ -97,7 +97,7 @@ def idf(share: np.ndarray) -> np.ndarray:
 
 
 class Frequencies:
-    """Exact document frequencies of the shingles that reach FLOOR, as weights; and the sketch's cells, for an order."""
+    """Exact document frequencies of the shingles that reach FLOOR, as weights; and the sketch's graded cells, for an order."""
 
     def __init__(self, shingles: np.ndarray, counts: np.ndarray, texts: int, cells: np.ndarray):
         order = np.argsort(shingles)
@@ -116,7 +116,7 @@ class Frequencies:
 
 def _gamma(u: np.ndarray) -> np.ndarray:
     """Quantiles of the Gamma(2, 1) distribution."""
-    x = np.geomspace(1e-6, 60, 1_000_001)
+    x = np.geomspace(1e-6, 60, 50_001)
     lower = np.where(x < 1e-3, x * x / 2 - x**3 / 3, 1 - (1 + x) * np.exp(-x))
     return np.interp(u, lower, x)
 
@@ -181,6 +181,11 @@ def band_keys(names: np.ndarray) -> np.ndarray:
         return keys + np.arange(1, BANDS + 1, dtype=np.uint64) * _M
 
 
+def grade(counts: np.ndarray) -> np.ndarray:
+    """Counts in steps of a sixth of a doubling, 0 for none: a byte up to 2^42."""
+    return np.where(counts > 0, np.floor(np.log2(np.maximum(counts, 1)) * 6) + 1, 0).astype(np.uint8)
+
+
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     shingles, total, held, n, texts = Shingler(), np.zeros(1 << SKETCH_BITS, np.int32), [], 0, 0
 
@@ -215,8 +220,7 @@ def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             else:
                 part = np.frombuffer(zlib.decompress(cells), np.int32)
                 total[block] = total[block] + part if block in total else part.astype(np.int64)
-    # counts are sent on as 32-bit numbers: cells beyond that are far over every bound
-    rows = [(i, zlib.compress(np.minimum(part, 2**31 - 1).astype(np.int32).tobytes(), 1)) for i, part in total.items()]
+    rows = [(i, zlib.compress(grade(part).tobytes(), 1)) for i, part in total.items()]
     yield pd.DataFrame([*rows, (-1, str(texts).encode())], columns=["block", "cells"])
 
 
@@ -251,26 +255,28 @@ def frequencies(rows: DataFrame) -> Frequencies:
 
     The sketch never counts too little, so a shingle of the share FLOOR lies in
     a heavy cell; the shingles of heavy cells are then counted exactly.  The
-    driver gets 2**SKETCH_BITS numbers and at most (shingles of an average text)
+    driver gets 2**SKETCH_BITS bytes and at most (shingles of an average text)
     / FLOOR shingles.
     """
     spark = rows.sparkSession
     parts = rows.mapInPandas(_counted, "block int, cells binary")
     parts = parts.repartition(32, "block").mapInPandas(_summed, "block int, cells binary")
-    cells, texts = np.zeros((1 << SKETCH_BITS) // CELLS * CELLS, np.int32).reshape(-1, CELLS), 0
+    cells, texts = np.zeros(((1 << SKETCH_BITS) // CELLS, CELLS), np.uint8), 0
     for row in parts.collect():
         if row["block"] < 0:
             texts += int(row["cells"])
         else:
-            cells[row["block"]] = np.frombuffer(zlib.decompress(row["cells"]), np.int32)
+            cells[row["block"]] = np.frombuffer(zlib.decompress(row["cells"]), np.uint8)
     cells = cells.reshape(-1)
     least = max(1, int(np.ceil(FLOOR * texts)))
-    heavy = cells >= least
+    heavy = cells >= grade(np.array([least]))[0]
     if not heavy.any():
         return Frequencies(np.zeros(0, np.uint64), np.zeros(0), texts, cells)
     shared = spark.sparkContext.broadcast(np.packbits(heavy))
-    found = rows.mapInPandas(_common(shared), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
-    return Frequencies(found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(float), texts, cells)
+    counts = rows.mapInPandas(_common(shared), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    found = np.array([(r["h"], r["n"]) for r in counts.collect()], np.int64).reshape(-1, 2)
+    shared.unpersist()
+    return Frequencies(found[:, 0].copy().view(np.uint64), found[:, 1].astype(float), texts, cells)
 
 
 def _signatures(shared):
@@ -321,7 +327,10 @@ def _similar(shared, least: float):
 
 
 def _prefixes(shared, least: float):
-    """The first shingles of each text by (cell of the sketch, hash), until the rest weighs under ``least`` of the text."""
+    """The first shingles of each text by (cell of the sketch, hash), until the rest weighs under ``least`` of the text.
+
+    ``tail`` is the weight of a shingle and all that follow it.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, known = Shingler(), shared.value
@@ -336,11 +345,13 @@ def _prefixes(shared, least: float):
                 before -= np.repeat(before[np.minimum(first, max(len(h) - 1, 0))], sizes) if len(h) else 0
                 total = np.bincount(owner, weight, len(sizes))[owner]
                 # a shingle is in the prefix as long as it and what follows weigh enough
-                keep = order[total - before >= (least - 1e-6) * total]
+                tail = total - before
+                use = tail >= (least - 1e-6) * total
+                keep, tail = order[use], tail[use]
                 part = batch.iloc[a:b]
                 of = owner[keep]
                 yield pd.DataFrame({
-                    "h": h[keep].view(np.int64), "rep": part["rep"].to_numpy()[of], "label": part["label"].to_numpy()[of],
+                    "h": h[keep].view(np.int64), "tail": tail, "rep": part["rep"].to_numpy()[of], "label": part["label"].to_numpy()[of],
                     "weight": part["weight"].to_numpy()[of], "rest": part["rest"].to_numpy()[of]})
 
     return run
@@ -432,10 +443,12 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     inside = now.join(open_, ["band", "key"]).groupBy("rep").agg(F.min("label").alias("label"), F.min("weight").alias("weight"), F.max(F.col("label") != F.col("main")).alias("rest"))
     inside = ws.save(inside, "inside")
     firsts = ws.save(texts.join(inside, "rep").select("rep", "label", "weight", "rest", "b").mapInPandas(
-        _prefixes(shared, least), "h long, rep long, label long, weight double, rest boolean"), "prefixes")
-    one = firsts.filter("rest").select("h", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("weight").alias("wa"))
-    two = matching(firsts, ws.save(one.select("h").distinct(), "prefix-shingles"), ["h"]).select("h", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("weight").alias("wb"))
-    pairs = one.join(two, "h").filter((F.col("la") != F.col("lb")) & near_weight(F.col("wa"), F.col("wb")))
+        _prefixes(shared, least), "h long, tail double, rep long, label long, weight double, rest boolean"), "prefixes")
+    one = firsts.filter("rest").select("h", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("weight").alias("wa"), F.col("tail").alias("ta"))
+    two = matching(firsts, ws.save(one.select("h").distinct(), "prefix-shingles"), ["h"]).select("h", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("weight").alias("wb"), F.col("tail").alias("tb"))
+    # what a pair shares follows its first common shingle: both tails there weigh at least what the similarity asks for
+    enough = F.least("ta", "tb") >= (F.col("wa") + F.col("wb")) * F.lit(least / (1 + least) - 1e-6)
+    pairs = one.join(two, "h").filter((F.col("la") != F.col("lb")) & near_weight(F.col("wa"), F.col("wb")) & enough)
     more = verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = connected(ws.save(links.unionByName(more), "links"), ws)
     ws.drop(texts, firsts, members, now)
