@@ -13,14 +13,12 @@ from __future__ import annotations
 
 import bisect
 import functools
-import struct
-import unicodedata
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,7 +27,7 @@ from .common import Workspace, key_of
 
 CAPACITY = 4096
 #: Words that a task remembers the ids of, at most.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Parts this long are not remembered; rows that a task sends on at once.
 LONG_PART, FLUSH = 100, 2000
 #: Pieces of one length that one task ranks, about.
@@ -37,58 +35,64 @@ BUCKET_ROWS = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
-#: The pattern by which the vocabulary cuts words, and its map from bytes to characters (a fixed format).
-CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTE_CHARS = {b: chr(b) for b in PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTED)}
+#: The pattern by which the vocabulary cuts words of ASCII characters (a fixed format).
+CUT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
 class WordTokenizer:
-    """Ids of whole texts from a byte-pair tokenizer file whose pieces end with their word.
+    """Ids of whole texts by the ``tokenizers`` library, as ``encode(text, add_special_tokens=False)`` gives them.
 
     Texts are cut at ASCII white space, which the vocabulary's normaliser drops
-    and no piece crosses.  Words are normalised and cut as the file says
-    (composed, lower case, by ``CUT``), and its merges run on each distinct part
-    while it is remembered.
+    and which no piece and no special string crosses.  The library encodes each
+    distinct word while it is remembered, many in one call.  Words of printable
+    ASCII characters without ``<|``, where no special string can begin, skip its
+    normaliser: they are lower-cased, cut by CUT, and the library's merges run
+    on each distinct part.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.merges = Tokenizer.from_file(path).model
+        self.library = Tokenizer.from_file(path)
+        self.merges = self.library.model
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def part(self, part: str) -> bytes:
-        """Ids of one part of a word."""
-        text = part if part.isascii() and part.isprintable() else "".join(BYTE_CHARS[b] for b in part.encode())
-        return struct.pack(f"<{len(found)}I", *found) if (found := [t.id for t in self.merges.tokenize(text)]) else b""
-
-    def word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if not text.isascii():
-            text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
-        else:
-            text = text.lower()
+        self.parts: dict[bytes, bytes] = {}
+
+    def plain_word(self, word: bytes) -> bytes:
         parts, out = self.parts, []
-        for part in CUT.findall(text):
+        for part in CUT.findall(word.lower()):
             if (ids := parts.get(part)) is None:
                 if len(parts) > REMEMBERED:
                     parts.clear()
-                ids = self.part(part)
+                ids = np.asarray([t.id for t in self.merges.tokenize(part.decode())], "<u4").tobytes()
                 if len(part) < LONG_PART:
                     parts[part] = ids
             out.append(ids)
         return b"".join(out)
 
+    def other_words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Words with their ids, by one call; an id belongs to the word that its offset lies in."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        found = self.library.encode(" ".join(texts), add_special_tokens=False)
+        ids = np.asarray(found.ids, "<u4").tobytes()
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        cut = (4 * np.searchsorted(np.asarray([at for at, _ in found.offsets], np.int64), starts)).tolist()
+        return ((w, ids[x:y]) for w, x, y in zip(words, cut[:-1], cut[1:], strict=True))
+
     def __call__(self, text: bytes) -> bytes:
         found, words = text.split(), self.words
         missing = set(found).difference(words)
         if len(words) + len(missing) > REMEMBERED:
             words.clear()
             missing = set(found)
+        other = []
         for w in missing:
-            words[w] = self.word(w)
+            if w.isascii() and b"<|" not in w and w.decode().isprintable():
+                words[w] = self.plain_word(w)
+            else:
+                other.append(w)
+        if other:
+            words.update(self.other_words(other))
         return b"".join([words[w] for w in found])
 
 
@@ -246,9 +250,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     ``pieces`` is read three times; give a written table.  Pieces of a length
     are ranked in buckets by hash, so a length that many share is dealt over
-    many tasks.  Rows that repeat doc_id and piece get a place each.
+    many tasks.  Rows that repeat doc_id and piece get a place each; only rows
+    equal in all columns may change places when a task runs again.  Columns
+    named sequence_id or offset are replaced; names that begin with ``_qw_`` are
+    taken.  An empty table gives an empty result.
     """
     spark = pieces.sparkSession
+    pieces = pieces.drop("sequence_id", "offset")
     ws = Workspace(spark, "pack")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     histogram = np.zeros(capacity + 1, np.int64)
@@ -256,19 +264,21 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         histogram[length] = n
     plan = make_plan(histogram, capacity)
     buckets = max(1, int(histogram.sum()) // BUCKET_ROWS)
-    rows = pieces.withColumn("_b", F.pmod(F.xxhash64(key_of(), "piece"), F.lit(buckets)).cast("int"))
-    sizes = rows.groupBy("length", "_b").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ws.save(sizes.select(F.col("length").alias("_l"), F.col("_b").alias("_c"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base")), "buckets")
-    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "piece")))
-    rows = rows.join(sizes, (F.col("length") == F.col("_l")) & (F.col("_b") == F.col("_c"))).withColumn("_r", F.col("_base") + F.col("_r") - 1).drop("_b", "_l", "_c", "_base")
+    rows = pieces.withColumn("_qw_b", F.pmod(F.xxhash64(key_of(), "piece"), F.lit(buckets)).cast("int"))
+    sizes = rows.groupBy("length", "_qw_b").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("length").orderBy("_qw_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ws.save(sizes.select(F.col("length").alias("_qw_l"), F.col("_qw_b").alias("_qw_c"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_qw_base")), "buckets")
+    ties = [F.xxhash64(*[F.col(f"`{c}`") for c, t in pieces.dtypes if not t.startswith("map")])]
+    rows = rows.withColumn("_qw_r", F.row_number().over(Window.partitionBy("length", "_qw_b").orderBy("doc_id", "piece", *ties)))
+    rows = rows.join(sizes, (F.col("length") == F.col("_qw_l")) & (F.col("_qw_b") == F.col("_qw_c"))).withColumn("_qw_r", F.col("_qw_base") + F.col("_qw_r") - 1)
+    rows = rows.drop("_qw_b", "_qw_l", "_qw_c", "_qw_base")
     schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
     shared = spark.sparkContext.broadcast(plan)  # runs of places: bounded by the histogram's capacity, not by the rows
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         plan = shared.value
         for batch in batches:
-            length, rank = batch["length"].to_numpy(), batch["_r"].to_numpy()
+            length, rank = batch["length"].to_numpy(), batch["_qw_r"].to_numpy()
             sequence, offset = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             order = np.argsort(length, kind="stable")
             edges = np.flatnonzero(np.diff(length[order], prepend=-1))
@@ -278,7 +288,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 run = np.searchsorted(plan.ranks[n], rank[at], side="right") - 1
                 sequence[at] = plan.sequences[n][run] + rank[at] - plan.ranks[n][run]
                 offset[at] = plan.offsets[n][run]
-            out = batch.drop(columns="_r")
+            out = batch.drop(columns="_qw_r")
             yield out.assign(sequence_id=sequence, offset=offset)
 
     return rows.mapInPandas(place, schema)
