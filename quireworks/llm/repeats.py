@@ -99,7 +99,8 @@ class Anchors:
 ANCHOR = "k long, h long, lo long, hi long, pos long, d1 long, d2 binary"
 BLOCKS = "k long, h long, lo long, hi long, pos long, core long, span binary, done boolean"
 WINDOWS = "k long, h long, lo long, w binary, open boolean"
-FLUSH = 200_000
+#: Rows that a task gathers before it sends them on.
+FLUSH = 40_000
 
 
 def _frames(rows: Iterator[tuple], schema: str) -> Iterator[pd.DataFrame]:
