@@ -3,10 +3,12 @@
 ``write_archives`` turns pages into WARC/1.1 records.  Payload digests are
 shuffled, never payload groups: the first page of each digest becomes a
 ``response``, the others become ``revisit`` records that refer to it and carry
-no payload.  Archives are written by Spark's text writer, whose line separator
-is the record separator, so its commit protocol covers lost executors.
-``read_archives`` parses the files by their Content-Length headers, and
-``resolve_revisits`` joins the revisits to their responses.
+no payload.  Every record is a gzip member of its own.  A task gathers members
+up to FILE_BYTES and hands them to Spark's text writer as one row, which becomes
+one file, so the writer's commit protocol covers lost executors.
+``read_archives`` takes the files member by member and parses records by their
+Content-Length headers, and ``resolve_revisits`` joins the revisits to their
+responses.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from .common import Workspace, text_bytes
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-RECORDS_PER_FILE = 5000
+#: Compressed bytes from which a file is full; one record more than that may be in it.
+FILE_BYTES = 16 << 20
 READ = "page_id long, url string, record_id string, record_type string, payload_digest string, payload_bytes long, refers_to_record string, actual_digest string"
 
 
@@ -36,9 +39,9 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def record_id(page_id: Column) -> Column:
-    """A name for a record that every run gives the same page."""
-    h = F.sha1(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit("null"))).cast("binary"))
+def record_id(page_id: Column, digest: Column) -> Column:
+    """A name for a record that every run gives the same page and payload; rows that repeat both share it."""
+    h = F.sha1(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(":"), digest).cast("binary"))
     cut = lambda a, n: F.substring(h, a, n)
     return F.concat(F.lit("urn:uuid:"), cut(1, 8), F.lit("-"), cut(9, 4), F.lit("-5"), cut(13, 3), F.lit("-8"), cut(16, 3), F.lit("-"), cut(19, 12))
 
@@ -66,47 +69,72 @@ def _header(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), clean, F.lit(CRLF)), F.lit(""))
 
 
-def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", min_payload: int = 0, compression: str = "gzip") -> None:
+def _archives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held, size = [], 0
+    for batch in batches:
+        for head, body in zip(batch["head"], batch["body"], strict=True):
+            pack = zlib.compressobj(6, wbits=31)
+            held.append(pack.compress(head.encode()) + pack.compress(body) + pack.compress(b"\r\n\r\n") + pack.flush())
+            size += len(held[-1])
+            if size >= FILE_BYTES:
+                yield pd.DataFrame({"value": [b"".join(held)]})
+                held, size = [], 0
+    if held:
+        yield pd.DataFrame({"value": [b"".join(held)]})
+
+
+def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", min_payload: int = 0) -> None:
     """Writes one record per row of ``pages`` (page_id, url, html; other columns are ignored).
 
-    Control characters of a url become spaces; a null url has no header.
+    Control characters of a url become spaces; a null url has no header.  Pages
+    that repeat a page_id have a record each, told apart by their payload.  An
+    empty table gives no archive.
     """
     rows = resolve_payloads(pages, min_payload)
-    body = F.when(F.col("is_response"), F.col("payload").cast("string")).otherwise(F.lit(""))
-    size = F.lit(len(HTTP)) + F.when(F.col("is_response"), F.col("payload_bytes")).otherwise(F.lit(0))
-    record = F.concat(
-        F.lit(f"WARC/1.1{CRLF}WARC-Type: "), F.when(F.col("is_response"), F.lit("response")).otherwise(F.lit("revisit")), F.lit(CRLF),
-        F.lit("WARC-Record-ID: <"), record_id(F.col("page_id")), F.lit(f">{CRLF}WARC-Date: {date}{CRLF}"),
+    response = F.col("is_response")
+    size = F.lit(len(HTTP)) + F.when(response, F.col("payload_bytes")).otherwise(F.lit(0))
+    head = F.concat(
+        F.lit(f"WARC/1.1{CRLF}WARC-Type: "), F.when(response, F.lit("response")).otherwise(F.lit("revisit")), F.lit(CRLF),
+        F.lit("WARC-Record-ID: <"), record_id(F.col("page_id"), F.col("payload_digest")), F.lit(f">{CRLF}WARC-Date: {date}{CRLF}"),
         _header("WARC-Target-URI", F.col("url")),
         _header("X-Page-ID", F.col("page_id").cast("string")),
-        F.when(F.col("is_response"), F.lit("")).otherwise(F.concat(F.lit(f"WARC-Profile: {PROFILE}{CRLF}WARC-Refers-To: <"), record_id(F.col("response_id")), F.lit(f">{CRLF}"))),
+        F.when(response, F.lit("")).otherwise(
+            F.concat(F.lit(f"WARC-Profile: {PROFILE}{CRLF}WARC-Refers-To: <"), record_id(F.col("response_id"), F.col("payload_digest")), F.lit(f">{CRLF}"))),
         F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest"), F.lit(f"{CRLF}Content-Type: application/http;msgtype=response{CRLF}Content-Length: "),
-        size.cast("string"), F.lit(CRLF * 2 + HTTP), body)
-    writer = rows.select(record.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", RECORDS_PER_FILE)
-    writer.option("compression", compression).text(path)
+        size.cast("string"), F.lit(CRLF * 2 + HTTP))
+    body = F.when(response, F.col("payload")).otherwise(F.lit(b""))
+    files = rows.select(head.alias("head"), body.alias("body")).mapInPandas(_archives, "value binary")
+    # a gzip member ends with the upper byte of its length, which is 0 below 16 MiB: it is written as the row's end;
+    # behind a longer last record it is one 0 too many, which readers of gzip skip
+    whole = F.when(F.expr("substring(value, -1, 1) = X'00'"), F.expr("substring(value, 1, octet_length(value) - 1)")).otherwise(F.col("value"))
+    files.select(whole.cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).option("compression", "none").text(path)
+
+
+def _members(content: bytes) -> Iterator[bytes]:
+    """The members of a gzip file, one at a time."""
+    rest = memoryview(content)
+    while rest and rest[0]:
+        member, out = zlib.decompressobj(31), []
+        while not member.eof:
+            if not rest:
+                raise ValueError("a gzip member has no end")
+            step = rest[: 1 << 20]
+            out.append(member.decompress(step))
+            rest = rest[len(step) - len(member.unused_data) :]
+        yield b"".join(out)
 
 
 def _records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    if content[:2] == b"\x1f\x8b":
-        whole = []
-        while content:
-            member = zlib.decompressobj(31)
-            whole.append(member.decompress(content))
-            content = member.unused_data
-        content = b"".join(whole)
-    at = 0
-    while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        lines = content[at:end].decode("utf-8").split(CRLF)
+    for record in _members(content):
+        head, _, block = record.partition(b"\r\n\r\n")
+        lines = head.decode("utf-8").split(CRLF)
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = dict(line.split(": ", 1) for line in lines[1:])
-        begin = end + 4
-        at = begin + int(head["Content-Length"])
-        yield head, content[begin:at]
-        if content[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"record does not end at byte {at}")
-        at += 4
+            raise ValueError("no WARC record at the start of a member")
+        fields = dict(line.split(": ", 1) for line in lines[1:])
+        size = int(fields["Content-Length"])
+        if block[size:] != b"\r\n\r\n":
+            raise ValueError("a record does not end where its header says")
+        yield fields, block[:size]
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,9 +156,10 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives under ``path``; one file at a time is held in memory.
+    """One row per record of the archives under ``path``.
 
-    ``actual_digest`` is computed from a response's payload as read.
+    A file is held compressed, FILE_BYTES and a record at most, and its records
+    one at a time.  ``actual_digest`` is computed from a response's payload as read.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInPandas(_parse, READ)
@@ -140,7 +169,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     """Records with the payload size, digest and page of the response that each stands for."""
     response = F.col("record_type") == "response"
     targets = records.filter(response).groupBy(F.col("record_id").alias("refers_to_record")).agg(
-        F.first("page_id").alias("t_page"), F.max("payload_bytes").alias("t_bytes"), F.max("actual_digest").alias("t_digest"))
+        F.min("page_id").alias("t_page"), F.max("payload_bytes").alias("t_bytes"), F.max("actual_digest").alias("t_digest"))
     # written, so that the join below stands alone and a response that many refer to can be split
     targets = Workspace(records.sparkSession, "warc").save(targets, "responses")
     out = records.join(targets, "refers_to_record", "left")
