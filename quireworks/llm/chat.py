@@ -19,7 +19,6 @@ from pyspark.sql.window import Window
 from .common import Workspace
 
 START, END = "<|im_start|>", "<|im_end|>"
-SEGMENT = "array<struct<text:string,loss:boolean>>"
 
 
 def escape(text: Column) -> Column:
@@ -78,8 +77,9 @@ def branch_paths(messages: DataFrame, top_k: int = 1) -> DataFrame:
         open_ = state.filter("up is not null").select(F.col("conv_id").alias("c")).distinct()
         if open_.isEmpty():
             break
-        settled.append(state.join(open_, same("conv_id", "c"), "left_anti"))
-        state = state.join(open_, same("conv_id", "c"), "left_semi")
+        open_ = ws.save(open_, f"open{len(jumps)}")
+        settled.append(ws.save(state.join(open_, same("conv_id", "c"), "left_anti").filter("up is null"), f"settled{len(jumps)}"))
+        state = ws.save(state.join(open_, same("conv_id", "c"), "left_semi"), f"left{len(jumps)}")
         jumps.append(state.filter("up is not null").select("conv_id", "node_id", "up"))
         above = state.select(F.col("conv_id").alias("c"), F.col("node_id").alias("a"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("sum").alias("sum2"))
         state = ws.save(state.join(above, same("conv_id", "c") & (F.col("up") == F.col("a")), "left").select(
@@ -101,23 +101,27 @@ def branch_paths(messages: DataFrame, top_k: int = 1) -> DataFrame:
 
 
 def format_paths(messages: DataFrame, paths: DataFrame) -> DataFrame:
-    """``conv_id, leaf_id, rank, formatted, segments``: one row per chosen path.
+    """``conv_id, leaf_id, rank, formatted, loss_spans``: one row per chosen path.
 
-    A turn is ``<|im_start|>role\\ntext<|im_end|>\\n``.  ``segments`` cut the
-    formatted text into pieces and mark those that carry loss: each assistant
-    text and nothing else.  A conversation is one value, so one task joins its turns.
+    A turn is ``<|im_start|>role\\ntext<|im_end|>\\n``.  ``loss_spans`` (start from
+    0, length, in characters of ``formatted``) mark what carries loss: each
+    assistant text and nothing else.  A conversation is one value, so one task
+    joins its turns.
     """
     rows = paths.select(F.col("conv_id").alias("c"), "leaf_id", "rank", F.col("node_id").alias("n"), "depth")
     rows = rows.join(messages.select("conv_id", "node_id", "role", "text"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node_id") == F.col("n")))
     turn = F.struct("depth", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = rows.groupBy("conv_id", "leaf_id", "rank").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    part = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
-    segments = F.flatten(F.transform("turns", lambda t: F.array(
-        part(F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")), F.lit(False)),
-        part(escape(t["text"]), t["role"] == "assistant"),
-        part(F.lit(END + "\n"), F.lit(False)))))
-    out = turns.select("conv_id", "leaf_id", "rank", segments.alias("segments"))
-    return out.select("conv_id", "leaf_id", "rank", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
+    opened = F.transform("turns", lambda t: F.struct(
+        F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"), (t["role"] == "assistant").alias("loss")))
+    out = turns.select("conv_id", "leaf_id", "rank", opened.alias("opened"))
+    formatted = F.array_join(F.transform("opened", lambda t: F.concat(t["head"], t["body"], F.lit(END + "\n"))), "")
+    # one pass along the turns: where each begins, and a span for each assistant text
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    step = lambda acc, t: F.struct(
+        (acc["at"] + F.length(t["head"]) + F.length(t["body"]) + len(END) + 1).alias("at"),
+        F.when(t["loss"], F.array_append(acc["spans"], F.struct((acc["at"] + F.length(t["head"])).alias("start"), F.length(t["body"]).alias("length")))).otherwise(acc["spans"]).alias("spans"))
+    return out.select("conv_id", "leaf_id", "rank", formatted.alias("formatted"), F.aggregate("opened", zero, step, lambda acc: acc["spans"]).alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -130,6 +134,6 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(cut, turn)
 
 
-def loss_text(segments: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+def loss_text(formatted: Column, spans: Column) -> Column:
+    """All text of a formatted conversation under its loss spans, unescaped."""
+    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, s["start"] + 1, s["length"]))), "")

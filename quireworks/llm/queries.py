@@ -36,7 +36,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the numbers of the turns are used in several joins: they are fixed first
     messages = Workspace(spark, "op4").save(messages, "messages")
     out = chat.format_paths(messages, chat.branch_paths(messages))
-    out = out.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss"))
+    out = out.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
