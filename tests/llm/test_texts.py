@@ -24,10 +24,21 @@ def test_word_tokenizer_equals_library():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     plain, own = Tokenizer.from_file(path), packing.WordTokenizer(path)
-    for t in TEXTS[1:]:
+    rng = random.Random(1)
+    odd = ["a<|endoftext|>b", "<|startoftext|>", "<|ENDOFTEXT|>", "x <|endoftext|> <|endoftext", "<|<|endoftext|>|>", "a'\u058bb a'\u0378c", "\x00\x01 a\x7fb", "\u00a0x\u2028y \u3000 z", "e\u0301 \u0301 \u212b", "\ufffd\U000e0001"]
+    odd += ["".join(rng.choice(["a", "'", "s", "<|", "endoftext", "|>", " ", "\n", "é", "\u0301", "9", "$", "İ", "ß", "日", "\u058b", "\u200d", "ll"]) for _ in range(rng.randint(1, 30))) for _ in range(1500)]
+    odd += [chr(c) + "a'" + chr(c) + "s" + chr(c) for c in [*range(0, 0x700), *rng.sample(range(0xE000, 0x20000), 1500)]]
+    for t in TEXTS[1:] + odd:
         assert np.frombuffer(own(t.encode()), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
 
 
+def test_names_of_other_columns_do_not_clash(spark):
+    rows = [(1, 0, 3, 7, 8, "a"), (1, 0, 3, 7, 8, "a"), (None, 0, 4, 7, 8, "b")]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, length long, sequence_id int, _b long, n string"), 5)
+    assert found.columns == ["doc_id", "piece", "length", "_b", "n", "sequence_id", "offset"]
+    assert sorted((r["n"], r["_b"], r["offset"]) for r in found.collect()) == [("a", 8, 0), ("a", 8, 0), ("b", 8, 0)]
+
+
 def test_pieces_and_places(spark):
     rng = random.Random(5)
     texts = TEXTS + [" ".join("word" for _ in range(rng.choice([3, 50, 400, 9000]))) for _ in range(120)]

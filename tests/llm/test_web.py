@@ -1,11 +1,13 @@
 """URL rules and models, reply trees and chat templates, WARC archives."""
 
 import base64
+import gzip
 import hashlib
 import math
 import random
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,7 +134,7 @@ def test_formatting_reads_back(spark):
     turns = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, leaf_id int")
     messages = chat.chain(turns).cache()
     out = chat.format_paths(messages, chat.branch_paths(messages))
-    got = {r["conv_id"]: r for r in out.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("t"), chat.loss_text(F.col("segments")).alias("loss")).collect()}
+    got = {r["conv_id"]: r for r in out.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("t"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
     for conv in (1, 2, 3, None):
         want = sorted(((t is not None, t or 0, r or "", x or "") for c, t, r, x in rows if c == conv))
         assert [(t["role"], t["text"]) for t in got[conv]["t"]] == [(r, x) for _, _, r, x in want]
@@ -142,15 +144,19 @@ def test_formatting_reads_back(spark):
     assert chat.format_paths(none, chat.branch_paths(none)).count() == 0
 
 
-@pytest.mark.parametrize("compression", ["gzip", "none"])
-def test_archives_read_back(spark, tmp_path, compression):
+@pytest.mark.parametrize("file_bytes", [warc.FILE_BYTES, 2000])
+def test_archives_read_back(spark, tmp_path, monkeypatch, file_bytes):
+    monkeypatch.setattr(warc, "FILE_BYTES", file_bytes)
     body = "<p>é\r\n\r\nWARC/1.1\r\n</p>"
     rows = [(3, "http://a/", body), (1, "http://b/\r\nX: y", body), (2, None, None), (5, "u", ""), (4, "v", "x" * 100_000), (9, "w", "lone\r\n\r\n"), (None, "n", body)]
     rows += [(100 + i, "hot", "same page") for i in range(50)]
     pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, record_type string")
     path = f"file://{tmp_path}/archives"
-    warc.write_archives(pages, path, compression=compression)
+    warc.write_archives(pages, path)
     read = warc.read_archives(spark, path).cache()
+    for file in (tmp_path / "archives").glob("part-*"):
+        members = list(warc._members(file.read_bytes()))
+        assert gzip.decompress(file.read_bytes()) == b"".join(members) and all(m.count(b"WARC-Record-ID: ") == 1 for m in members)
     got = {r["page_id"]: r for r in warc.resolve_revisits(read).collect()}
     assert len(got) == len(rows) == read.count()
     for i, _, html in rows:
@@ -163,6 +169,23 @@ def test_archives_read_back(spark, tmp_path, compression):
     assert read.filter("record_type = 'revisit' and payload_bytes is not null").count() == 0
 
 
+def test_pages_that_repeat_an_id(spark, tmp_path):
+    rows = [(1, "u", "AAA"), (1, "u", "BBBBB"), (2, "u", "AAA"), (3, "u", "BBBBB"), (None, "u", "C"), (None, "v", "D"), (4, "u", "C")]
+    path = f"file://{tmp_path}/archives"
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = warc.resolve_revisits(warc.read_archives(spark, path)).collect()
+    digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    want = [(1, "AAA", "response", None), (1, "BBBBB", "response", None), (2, "AAA", "revisit", 1), (3, "BBBBB", "revisit", 1), (None, "C", "revisit", 4), (None, "D", "response", None), (4, "C", "response", None)]
+    assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got), key=repr) == sorted(((i, len(t), digest(t), kind, to) for i, t, kind, to in want), key=repr)
+
+
+def test_long_records_keep_their_bytes(tmp_path):
+    pages = [(f"head{i}\r\n\r\n", body) for i, body in enumerate([b"x" * (17 << 20), b"", b"y"])]
+    files = [f for f in warc._archives(iter([pd.DataFrame(pages, columns=["head", "body"])]))]
+    whole = b"".join(v for f in files for v in f["value"])
+    assert [len(m) for m in warc._members(whole)] == [len(h) + len(b) + 4 for h, b in pages]
+
+
 def test_small_payloads_are_all_responses(spark):
     pages = spark.createDataFrame([(1, "a", "xx"), (2, "b", "xx"), (3, "c", "x" * 20), (4, "d", "x" * 20)], "page_id long, url string, html string")
     got = {r["page_id"]: r["is_response"] for r in warc.resolve_payloads(pages, 10).collect()}
