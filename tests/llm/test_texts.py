@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -201,27 +202,54 @@ def test_estimates_follow_the_shares_of_all_labels(spark):
     assert quality.fit_model(frame(spark, texts), few) is not None
 
 
-def test_scores_equal_brute_force(spark):
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def hash_of_word(word):
+    return int(brown.Words()([word.encode()])[0][0])
+
+
+@pytest.mark.parametrize("sizes", [(40, 50, 55), (10, 20, 1000), (40, 50, 0)])
+def test_scores_equal_brute_force(spark, sizes):
     rng = random.Random(3)
     nouns, verbs = [f"n{i}" for i in range(30)], [f"v{i}" for i in range(30)]
-    texts = [" ".join(w for _ in range(rng.randint(2, 30)) for w in (rng.choice(nouns), rng.choice(verbs))) for _ in range(300)] + [None, "", "UNSEEN word N1"]
-    got = {r["doc_id"]: r for r in brown.score_texts(frame(spark, texts), core=40, clustered=50, dictionary=55, n_classes=4).collect()}
-    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    texts = [" ".join(w for _ in range(rng.randint(2, 30)) for w in (rng.choice(nouns), rng.choice(verbs))) for _ in range(300)] + [None, "", "UNSEEN word N1 é"]
+    model = brown.ClassModel(frame(spark, texts), *sizes, n_classes=4)
+    got = {r["doc_id"]: r for r in model.score().collect()}
+    words = [words_of(t) for t in texts]
     held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
-    count = {}
+    count = Counter(x for w, h in zip(words, held, strict=True) if not h for x in [*w, None])
+    n, v = sum(count.values()), len(count)
+    # every training word has a class
+    cls = dict(zip(model.hashes.tolist(), model.classes[model.ranks].tolist(), strict=True))
+    if model.beyond is not None:
+        cls |= {r["word"] % 2**64: r["cls"] for r in model.word_classes().collect()}
+    of = {w: cls.get(hash_of_word(w), 4) for w in count if w is not None}
+    if sizes[2]:
+        assert len(cls) == v - 1 and set(of.values()) <= {0, 1, 2, 3}
+    path = lambda w: [5, *(of.get(x, 4) for x in w), 5]
+    steps = np.full((6, 6), brown.SMOOTH)
     for w, h in zip(words, held, strict=True):
         if not h:
-            for x in [*w, None]:
-                count[x] = count.get(x, 0) + 1
-    n, v = sum(count.values()), len(count)
+            np.add.at(steps, (path(w)[:-1], path(w)[1:]), 1)
+    mass = np.zeros(6)
+    for w, c in of.items():
+        mass[c] += count[w] + 0.1
+    mass[4] += 0.1
+    mass[5] = count[None] + 0.1
+    chance = steps / steps.sum(1, keepdims=True)
     better = 0
     for i, w in enumerate(words):
         want = sum(np.log10((count.get(x, 0) + 0.1) / (n + 0.1 * (v + 1))) for x in [*w, None])
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(w) + 1, sum(x in count for x in [*w, None]), n)
         assert abs(r["base_score"] - want) < 1e-6 * max(1, abs(want))
+        p = path(w)
+        score = sum(np.log10(chance[a, b] * (count.get(x, 0) + 0.1) / mass[b]) for a, b, x in zip(p[:-1], p[1:], [*w, None], strict=True))
+        assert abs(r["score"] - score) < 1e-6 * max(1, abs(score))
         better += r["score"] > r["base_score"]
-    assert better > 0.9 * len(texts)
+    assert better > 0.9 * len(texts) or not sizes[2]
 
 
 def test_words_beyond_the_core_have_classes(spark):
@@ -229,16 +257,12 @@ def test_words_beyond_the_core_have_classes(spark):
     nouns, verbs = [f"n{i}" for i in range(200)], [f"v{i}" for i in range(200)]
     pick = lambda words: words[min(int(rng.expovariate(0.03)), 199)]
     texts = [" ".join(w for _ in range(20) for w in (pick(nouns), pick(verbs))) for _ in range(400)]
-    held = [i for i in range(1000, 1300) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
-    # words beyond the dictionary in two orders: nouns and verbs in turn, or all nouns first
-    late = range(100, 120)
-    turns, apart = " ".join(f"n{i} v{i}" for i in late), " ".join([f"n{i}" for i in late] + [f"v{i}" for i in late])
-    rows = [(i, t) for i, t in enumerate(texts)] + [(held[0], turns), (held[1], apart)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for sizes in ((40, 50, 60), (40, 50, 1000)):
-        got = {r["doc_id"]: r for r in brown.score_texts(docs, *sizes, n_classes=4).collect()}
-        assert got[held[0]]["held_out"] and abs(got[held[0]]["base_score"] - got[held[1]]["base_score"]) < 1e-6
-        assert got[held[0]]["score"] > got[held[1]]["score"] + 5
+        model = brown.ClassModel(docs, *sizes, n_classes=4)
+        cls = dict(zip(model.hashes.tolist(), model.classes[model.ranks].tolist(), strict=True)) | {r["word"] % 2**64: r["cls"] for r in model.word_classes().collect()}
+        sides = [{cls[h] for w in side if (h := hash_of_word(w)) in cls} for side in (nouns, verbs)]
+        assert not sides[0] & sides[1]
 
 
 def test_exchange_finds_alternating_classes():
