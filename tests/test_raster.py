@@ -145,6 +145,47 @@ def test_documents_compose_in_batch_and_in_streams(spark, tmp_path):
     assert [bytes(r["pixels"]) for r in done] == want
 
 
+def recorded(pages, options, monkeypatch):
+    """(x, y, width, height, source height, source width) of everything a document puts down, and its pages."""
+    put, calls = C.Composer._put, []
+
+    def note(self, pixels, x, y, width, height):
+        calls.append((x, y, width, height, *pixels.shape[:2], self.emitted + len(self.done)))
+        put(self, pixels, x, y, width, height)
+
+    monkeypatch.setattr(C.Composer, "_put", note)
+    return calls, list(C.iter_pages(iter(pages), options))
+
+
+def test_a_left_column_ends_before_the_right_one(monkeypatch):
+    # two columns of short lines, each line under the height that a gutter search asks for
+    boxes = [(x, 20 + 40 * i, 30 + 4 * i + (x > 100), 12) for x in (20, 160) for i in range(4)]
+    calls, _ = recorded([picture(300, 200, *boxes)], C.Options(width=400, height=600, margin=10, dpi=72, font_size=12), monkeypatch)
+    assert [c[5] for c in calls] == [30, 34, 38, 42, 31, 35, 39, 43]
+
+
+def test_words_of_a_row_keep_their_proportions(monkeypatch):
+    calls, _ = recorded([picture(300, 100, (20, 20, 30, 20), (80, 30, 30, 10))], C.Options(width=400, height=600, margin=10, dpi=72, font_size=12), monkeypatch)
+    assert [(c[2], c[3]) for c in calls] == [(18, 12), (18, 6)] and calls[1][0] == 10 + 18 + 3
+
+
+def test_lines_past_the_margin_turn_the_page(monkeypatch):
+    o = C.Options(width=128, height=128, margin=10, dpi=72, font_size=36)
+    calls, pages = recorded([picture(200, 400, *[(10, 10 + 60 * i, 60, 20) for i in range(5)])], o, monkeypatch)
+    # each line is 36 high with a gap of 7 and a paragraph's 18: two a page
+    assert [(c[1], c[6]) for c in calls] == [(10, 0), (71, 0), (10, 1), (71, 1), (10, 2)] and len(pages) == 3
+    first = C.Composer(o)
+    first.add(picture(200, 400, *[(10, 10 + 60 * i, 60, 20) for i in range(2)]))
+    assert len(first.take()) == 1  # the page is handed out as soon as the pen passes its margin
+
+
+def test_ink_is_never_clipped():
+    import pandas as pd
+
+    page = C.text_raster(pd.DataFrame({"y": [0, 2], "x0": [0, 330], "x1": [5, 400]}))
+    assert page.shape == (3, 400, 3) and (page[2, 330:400] == 0).all()
+
+
 # files ------------------------------------------------------------------------------------------------
 
 def chapter(n, **more):
