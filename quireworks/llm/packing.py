@@ -14,6 +14,7 @@ from __future__ import annotations
 import bisect
 import functools
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +39,9 @@ PIECES = "doc_id long, piece int, start long, length long, ids binary"
 #: The pattern by which the vocabulary cuts words of ASCII characters (a fixed format).
 CUT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
+#: Words of printable ASCII characters alone.
+PLAIN = re.compile(rb"[!-~]+").fullmatch
+
 
 class WordTokenizer:
     """Ids of whole texts by the ``tokenizers`` library, as ``encode(text, add_special_tokens=False)`` gives them.
@@ -64,7 +68,8 @@ class WordTokenizer:
             if (ids := parts.get(part)) is None:
                 if len(parts) > REMEMBERED:
                     parts.clear()
-                ids = np.asarray([t.id for t in self.merges.tokenize(part.decode())], "<u4").tobytes()
+                found = [t.id for t in self.merges.tokenize(part.decode())]
+                ids = struct.pack(f"<{len(found)}I", *found)
                 if len(part) < LONG_PART:
                     parts[part] = ids
             out.append(ids)
@@ -87,7 +92,7 @@ class WordTokenizer:
             missing = set(found)
         other = []
         for w in missing:
-            if w.isascii() and b"<|" not in w and w.decode().isprintable():
+            if PLAIN(w) and b"<|" not in w:
                 words[w] = self.plain_word(w)
             else:
                 other.append(w)
