@@ -27,8 +27,8 @@ from pyspark.sql.window import Window
 from .common import Workspace, key_of
 
 CAPACITY = 4096
-#: Words that a task remembers the ids of, at most.
-REMEMBERED = 150_000
+#: Words that a task remembers the ids of, about, in each of two generations; and parts of words.
+REMEMBERED = 250_000
 #: Parts this long are not remembered; rows that a task sends on at once.
 LONG_PART, FLUSH = 100, 2000
 #: Pieces of one length that one task ranks, about.
@@ -59,15 +59,15 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.merges = self.library.model
+        # words met since the last turn, and those of the generation before
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
 
     def plain_word(self, word: bytes) -> bytes:
-        parts, out = self.parts, []
-        for part in CUT.findall(word.lower()):
+        word, parts, out = word.lower(), self.parts, []
+        for part in (word,) if word.isalpha() else CUT.findall(word):
             if (ids := parts.get(part)) is None:
-                if len(parts) > REMEMBERED:
-                    parts.clear()
                 found = [t.id for t in self.merges.tokenize(part.decode())]
                 ids = struct.pack(f"<{len(found)}I", *found)
                 if len(part) < LONG_PART:
@@ -85,14 +85,16 @@ class WordTokenizer:
         return ((w, ids[x:y]) for w, x, y in zip(words, cut[:-1], cut[1:], strict=True))
 
     def __call__(self, text: bytes) -> bytes:
-        found, words = text.split(), self.words
-        missing = set(found).difference(words)
-        if len(words) + len(missing) > REMEMBERED:
-            words.clear()
-            missing = set(found)
-        other = []
-        for w in missing:
-            if PLAIN(w) and b"<|" not in w:
+        found = text.split()
+        if len(self.words) > REMEMBERED:
+            self.words, self.older = {}, self.words
+        if len(self.parts) > REMEMBERED:
+            self.parts = {}
+        words, older, other = self.words, self.older, []
+        for w in set(found).difference(words):
+            if (ids := older.get(w)) is not None:
+                words[w] = ids
+            elif PLAIN(w) and b"<|" not in w:
                 words[w] = self.plain_word(w)
             else:
                 other.append(w)
