@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, Workspace, key_of, mark_possible, matching, text_bytes
+from .common import NULL_KEY, Workspace, key_of, lean, mark_possible, matching, text_bytes
 from .wordhash import WordHasher, mix, steps
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -259,8 +259,8 @@ def frequencies(rows: DataFrame) -> Frequencies:
     / FLOOR shingles.
     """
     spark = rows.sparkSession
-    parts = rows.mapInPandas(_counted, "block int, cells binary")
-    parts = parts.repartition(32, "block").mapInPandas(_summed, "block int, cells binary")
+    parts = rows.mapInPandas(lean(_counted), "block int, cells binary")
+    parts = parts.repartition(32, "block").mapInPandas(lean(_summed), "block int, cells binary")
     cells, texts = np.zeros(((1 << SKETCH_BITS) // CELLS, CELLS), np.uint8), 0
     for row in parts.collect():
         if row["block"] < 0:
@@ -273,7 +273,7 @@ def frequencies(rows: DataFrame) -> Frequencies:
     if not heavy.any():
         return Frequencies(np.zeros(0, np.uint64), np.zeros(0), texts, cells)
     shared = spark.sparkContext.broadcast(np.packbits(heavy))
-    counts = rows.mapInPandas(_common(shared), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    counts = rows.mapInPandas(lean(_common(shared)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     found = np.array([(r["h"], r["n"]) for r in counts.collect()], np.int64).reshape(-1, 2)
     shared.unpersist()
     return Frequencies(found[:, 0].copy().view(np.uint64), found[:, 1].astype(float), texts, cells)
@@ -402,7 +402,7 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     shared = spark.sparkContext.broadcast(frequencies(rows.select("b")))
 
     hashed = rows.select("k", "b", F.sha2("b", 256).alias("text_hash"))
-    signs = ws.save(hashed.mapInPandas(_signatures(shared), "k long, text_hash string, bands array<long>, weight double"), "signatures")
+    signs = ws.save(hashed.mapInPandas(lean(_signatures(shared)), "k long, text_hash string, bands array<long>, weight double"), "signatures")
     # equal texts become one representative before anything is paired
     reps = signs.groupBy("text_hash").agg(F.min("k").alias("k"), F.min(F.struct("bands", "weight")).alias("s"))
     # numbered when written, so a number stays with its text whatever runs again
@@ -428,7 +428,7 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
         right = texts.select(F.col("rep").alias("b"), F.col("b").alias("y"))
         # joined by a last, so a hub's shingles are made once for a run of its members
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-        return both.mapInPandas(_similar(shared, least), "a long, b long, similarity double")
+        return both.mapInPandas(lean(_similar(shared, least)), "a long, b long, similarity double")
 
     star = members.join(several, ["band", "key"]).filter((F.col("rep") != F.col("hub.rep")) & near_weight(F.col("weight"), F.col("hub.weight")))
     links = ws.save(verify(star.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()), "links")
@@ -443,7 +443,7 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     inside = now.join(open_, ["band", "key"]).groupBy("rep").agg(F.min("label").alias("label"), F.min("weight").alias("weight"), F.max(F.col("label") != F.col("main")).alias("rest"))
     inside = ws.save(inside, "inside")
     firsts = ws.save(texts.join(inside, "rep").select("rep", "label", "weight", "rest", "b").mapInPandas(
-        _prefixes(shared, least), "h long, tail double, rep long, label long, weight double, rest boolean"), "prefixes")
+        lean(_prefixes(shared, least)), "h long, tail double, rep long, label long, weight double, rest boolean"), "prefixes")
     one = firsts.filter("rest").select("h", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("weight").alias("wa"), F.col("tail").alias("ta"))
     two = matching(firsts, ws.save(one.select("h").distinct(), "prefix-shingles"), ["h"]).select("h", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("weight").alias("wb"), F.col("tail").alias("tb"))
     # what a pair shares follows its first common shingle: both tails there weigh at least what the similarity asks for

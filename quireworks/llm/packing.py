@@ -12,7 +12,6 @@ of its length.
 from __future__ import annotations
 
 import bisect
-import functools
 import re
 import struct
 from collections.abc import Iterator
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace, key_of
+from .common import Workspace, key_of, lean
 
 CAPACITY = 4096
 #: Words that a task remembers the ids of, about, in each of two generations; and parts of words.
@@ -103,12 +102,6 @@ class WordTokenizer:
         return b"".join([words[w] for w in found])
 
 
-@functools.cache
-def word_tokenizer(path: str) -> WordTokenizer:
-    """One tokenizer a Python worker, so that tasks that follow each other share what it remembers."""
-    return WordTokenizer(path)
-
-
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece, start, length, ids`` (little-endian unsigned 32-bit) of every whole text.
 
@@ -120,7 +113,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity
         return pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"]).astype({"doc_id": "Int64"})
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = word_tokenizer(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
+        encode, end = WordTokenizer(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["b"], strict=True):
@@ -134,7 +127,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity
             yield frame(rows)
 
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select(F.col("doc_id").cast("long"), text.alias("b")).mapInPandas(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), text.alias("b")).mapInPandas(lean(cut), PIECES)
 
 
 def patterns(lengths: np.ndarray, capacity: int, near: int = 2) -> list[tuple[int, ...]]:
@@ -298,4 +291,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             out = batch.drop(columns="_qw_r")
             yield out.assign(sequence_id=sequence, offset=offset)
 
-    return rows.mapInPandas(place, schema)
+    return rows.mapInPandas(lean(place), schema)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import lean, text_bytes
 
 #: Labelled documents that the trees are fitted on, at most.
 SAMPLE = 6000
@@ -202,7 +202,7 @@ def _measured(rows: DataFrame, keep: list[str], types: dict[str, str]) -> DataFr
             out = pd.DataFrame([f[0] for f in found], columns=COUNTS)
             yield pd.concat([batch[keep].reset_index(drop=True), out, pd.Series([f[1] for f in found], name="features", dtype=object)], axis=1)[[*keep, *COUNTS, "features"]]
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInPandas(lean(run), schema)
 
 
 VERDICT = ", ".join([*(f"{c} long" for c in COUNTS), "poor double"])

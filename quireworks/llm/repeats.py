@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, Workspace, key_of, mark_possible, matching, text_bytes
+from .common import NULL_KEY, Workspace, key_of, lean, mark_possible, matching, text_bytes
 
 THRESHOLD, DIGIT, BLOCK = 400, 48, 24
 #: Bytes of a passage of 50 words, at four letters and a space each.
@@ -100,7 +100,7 @@ ANCHOR = "k long, h long, lo long, hi long, pos long, d1 long, d2 binary"
 BLOCKS = "k long, h long, lo long, hi long, pos long, core long, span binary, done boolean"
 WINDOWS = "k long, h long, lo long, w binary, open boolean"
 #: Rows that a task gathers before it sends them on.
-FLUSH = 40_000
+FLUSH = 20_000
 
 
 def _frames(rows: Iterator[tuple], schema: str) -> Iterator[pd.DataFrame]:
@@ -125,7 +125,7 @@ def find_anchors(docs: DataFrame, threshold: int, digit: int) -> DataFrame:
             for lo, hi, pos, d1 in find(text):
                 yield k, h, lo, hi, pos, d1, xxhash.xxh3_128_digest(text[lo : hi + threshold])
 
-    return docs.select("k", "h", "b").mapInPandas(lambda it: _frames(rows(it), ANCHOR), ANCHOR)
+    return docs.select("k", "h", "b").mapInPandas(lean(lambda it: _frames(rows(it), ANCHOR)), ANCHOR)
 
 
 def cut_blocks(texts: DataFrame, threshold: int) -> DataFrame:
@@ -147,7 +147,7 @@ def cut_blocks(texts: DataFrame, threshold: int) -> DataFrame:
                     span = digest(text[x : y + threshold], seed=((j + FAR) * BLOCK + x - a) * BLOCK + b - y)
                     yield k, h, max(a, lo), min(b, hi), pos, core, span, done
 
-    return texts.filter("marks is not null").select("k", "h", "b", "marks").mapInPandas(lambda it: _frames(rows(it), BLOCKS), BLOCKS)
+    return texts.filter("marks is not null").select("k", "h", "b", "marks").mapInPandas(lean(lambda it: _frames(rows(it), BLOCKS)), BLOCKS)
 
 
 def cut_windows(texts: DataFrame, threshold: int) -> DataFrame:
@@ -157,7 +157,7 @@ def cut_windows(texts: DataFrame, threshold: int) -> DataFrame:
                 for x in range(mark["lo"], mark["hi"] + 1):
                     yield k, h, x, xxhash.xxh3_128_digest(text[x : x + threshold]), mark["open"]
 
-    return texts.mapInPandas(lambda it: _frames(rows(it), WINDOWS), WINDOWS)
+    return texts.mapInPandas(lean(lambda it: _frames(rows(it), WINDOWS)), WINDOWS)
 
 
 def _settle(rows: DataFrame, outer: str, inner: str, ws: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -265,7 +265,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
     rows = mark_possible(rows.drop("_qw_b"), spans, ["_qw_k", "_qw_h"], "_qw_maybe")
     aside = rows.filter("not _qw_maybe").select(docs.columns)
     joined = rows.filter("_qw_maybe").join(spans, ["_qw_k", "_qw_h"], "left").select(*docs.columns, "_qw_spans")
-    return aside.unionByName(joined.mapInPandas(cut, schema))
+    return aside.unionByName(joined.mapInPandas(lean(cut), schema))
 
 
 def removal_report(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT) -> DataFrame:
@@ -291,7 +291,7 @@ def removal_report(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
 
     # documents that surely have no span stay where they are
     rows = mark_possible(rows.withColumns({"k2": F.col("k"), "h2": F.col("h")}), spans, ["k2", "h2"], "maybe")
-    hit = rows.filter("maybe").join(spans, ["k2", "h2"], "left").select("k", "b", "spans").mapInPandas(cut, out)
+    hit = rows.filter("maybe").join(spans, ["k2", "h2"], "left").select("k", "b", "spans").mapInPandas(lean(cut), out)
     zero = F.lit(0).cast("long")
     rest = rows.filter("not maybe").select("k", F.octet_length("b").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("b").alias("kept"), F.col("b").cast("string").alias("text"))
     return rest.unionByName(hit).select(
