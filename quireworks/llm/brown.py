@@ -10,7 +10,8 @@ sweep the counts of a word with the classes before and after it are gathered
 over all texts: as matrices for the FREQUENT words, which the driver moves with
 the exact change of likelihood, their own counts taken out; as rows for all
 others, which a distributed pass moves with the change's first-order term.
-A sweep that lowers the likelihood is undone.
+From the second sweep on, words beyond the dictionary count as neighbours with
+the classes that the sweep before gave them.  A sweep that lowers the likelihood is undone.
 
 Words are known to tasks by 64-bit hashes in sorted arrays: the DICTIONARY most
 frequent ones with their counts and classes.  Counts and classes of the other
@@ -264,6 +265,14 @@ def _joined(batch: pd.DataFrame, edge: int) -> np.ndarray:
     return np.frombuffer(mark + b"".join(c + mark for c in batch["codes"]), np.uint32)
 
 
+def _classes_of(batch: pd.DataFrame, codes: np.ndarray, classes: np.ndarray, edge: int) -> np.ndarray:
+    """Classes of a batch's ``codes``: those of words beyond the dictionary are ``filled`` in where they are known."""
+    c, filled = classes[codes], [f for f in batch["filled"] if f is not None]
+    if filled:
+        c[codes == edge + 1] = np.concatenate(filled)
+    return c
+
+
 def _contexts(shared, words: int, n: int, edge: int):
     """Counts of (word, class before), (word, class after) and (word, itself after it) for words below ``words``, then those of class bigrams."""
 
@@ -272,7 +281,7 @@ def _contexts(shared, words: int, n: int, edge: int):
         total, table = np.zeros(words * wide, np.int64), np.zeros(n * n, np.int64)
         for batch in batches:
             codes = _joined(batch, edge)
-            c = classes[codes]
+            c = _classes_of(batch, codes, classes, edge)
             table += np.bincount(c[:-1] * n + c[1:], minlength=n * n)
             for at, near, side in ((codes[1:], c[:-1], 0), (codes[:-1], c[1:], n)):
                 use = np.flatnonzero(at < words)
@@ -293,7 +302,7 @@ def _surroundings(shared, least: int, edge: int):
         classes, other = shared.value, edge + 1
         for batch in batches:
             codes = _joined(batch, edge)
-            c = classes[codes]
+            c = _classes_of(batch, codes, classes, edge)
             at = np.flatnonzero((codes >= least) & (codes != edge))
             at = at[np.argsort(codes[at], kind="stable")]
             near, own = np.stack([c[at - 1], c[at + 1]], 1), codes[at]
@@ -409,7 +418,9 @@ class ClassModel:
         known = share((self.hashes, self.ranks, np.log10(self.counts[order] + ADD)))
         self.coded = ws.save(rows.mapInPandas(_code(known), CODED), "coded")
         known.unpersist()
-        self.train = self.coded.filter("not held_out").select("codes", "rare")
+        self.train = self.coded.filter("not held_out").select("k", "h", "codes", "rare")
+        # whether any training word lies beyond the dictionary
+        self.more_words = edge < total["v"]
         frequent = min(frequent, edge)
         core = min(core, frequent)
         classes = np.full(edge + 2, n_classes, np.uint8)
@@ -432,9 +443,15 @@ class ClassModel:
         """(likelihood of the classes as they are, classes of the dictionary after a sweep, ``word, cls`` of the words beyond it)."""
         share, n, k = self.train.sparkSession.sparkContext.broadcast, self.n, self.n_classes
         shared = share(self.classes)
+        if self.beyond is not None and self.more_words:
+            # words beyond the dictionary count with the classes that the sweep before gave them
+            filled = self._rare(self.train, self.beyond.filter("rare").select("word", F.lit(1).alias("n"), "cls")).select("k", "h", "filled")
+            train = self.ws.save(self.train.join(filled, ["k", "h"], "left"), "train")
+        else:
+            train = self.train.withColumn("filled", F.lit(None).cast("array<int>"))
         wide = 2 * n + 1
         extra = -(-n * n // wide)
-        found = _sum_matrix(self.train.mapInPandas(_contexts(shared, frequent, n, self.edge), "block int, cells binary"), frequent + extra, wide).astype(float)
+        found = _sum_matrix(train.mapInPandas(_contexts(shared, frequent, n, self.edge), "block int, cells binary"), frequent + extra, wide).astype(float)
         table, near = found[frequent:].reshape(-1)[: n * n].reshape(n, n), found[:frequent]
         moved = self.classes.copy()
         for w in range(frequent):
@@ -448,14 +465,24 @@ class ClassModel:
         t = table[:, :k] + SMOOTH
         u = table[:k, :] + SMOOTH
         logs = np.concatenate([np.log(t / t.sum(0)), np.log(u / u.sum(1, keepdims=True)).T])
-        words = self.train.mapInPandas(_surroundings(shared, frequent, self.edge), "word long, rare boolean, near binary")
+        words = train.mapInPandas(_surroundings(shared, frequent, self.edge), "word long, rare boolean, near binary")
         words = words.groupBy("word", "rare").agg(F.collect_list("near").alias("near")).mapInPandas(_assign(logs), "word long, rare boolean, cls int")
         words = self.ws.save(words, "word-classes")
+        if hasattr(train, "saved_path"):
+            self.ws.drop(train)
         packed = words.filter("not rare").select("word", F.col("cls").cast("long").alias("n")).mapInPandas(_packed, "h binary, n binary")
         for r in packed.collect():  # words of the dictionary: few rows, many words each
             moved[np.frombuffer(r["h"], np.int64)] = np.frombuffer(r["n"], np.int64)
         return Exchange.likelihood(table), moved, words
 
+    def _rare(self, coded: DataFrame, beyond: DataFrame) -> DataFrame:
+        """For each text (k, h) with words beyond the dictionary: their classes in the text's order, how many are known, their weight."""
+        rare = coded.filter(F.size("rare") > 0).dropDuplicates(["k", "h"]).select("k", "h", F.posexplode("rare").alias("pos", "word"))
+        cls = F.struct("pos", F.coalesce("cls", F.lit(self.n_classes)).alias("cls"))
+        return rare.join(beyond, "word", "left").groupBy("k", "h").agg(
+            F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD))).alias("weight"),
+            F.sort_array(F.collect_list(cls))["cls"].alias("filled"))
+
     def word_classes(self) -> DataFrame:
         """``word, n, cls`` of the words beyond the dictionary."""
         return self.beyond.filter("rare").join(self.vocabulary, "word").select("word", "n", "cls")
@@ -469,12 +496,7 @@ class ClassModel:
             beyond = ws.save(self.word_classes(), "beyond")
         else:
             beyond = self.vocabulary.filter("false").select("word", "n", F.lit(0).alias("cls"))
-        rare = coded.filter(F.size("rare") > 0).dropDuplicates(["k", "h"]).select("k", "h", F.posexplode("rare").alias("pos", "word"))
-        cls = F.struct("pos", F.coalesce("cls", F.lit(n_classes)).alias("cls"))
-        rare = rare.join(beyond, "word", "left").groupBy("k", "h").agg(
-            F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD))).alias("weight"),
-            F.sort_array(F.collect_list(cls))["cls"].alias("filled"))
-        rare = ws.save(rare, "rare")
+        rare = ws.save(self._rare(coded, beyond), "rare")
         whole = coded.drop("rare").join(rare.select("k", "h", "filled"), ["k", "h"], "left")
         classed = ws.save(whole.mapInPandas(_classed(share(self.classes), self.edge), CLASSED), "classed")
         steps_ = _sum_matrix(classed.filter("not held_out").select("path").mapInPandas(_class_pairs(n), "block int, cells binary"), n, n).astype(float)
