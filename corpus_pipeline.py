@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireworks.llm import exact_dedup, minhash, packing, quality, repeats
-from quireworks.llm.common import Workspace, recording, table
+from quireworks.llm.common import Workspace, bound_batches, recording, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -26,6 +26,7 @@ def _closing(stage: Stage) -> Stage:
 
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
         app = spark.sparkContext.applicationId
         bare = lambda path: path.split(":", 1)[-1].lstrip("/")
         read = [bare(path) for path in docs.inputFiles()]
@@ -42,6 +43,7 @@ def _closing(stage: Stage) -> Stage:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the trees reject go."""
+    bound_batches(spark)
     # a pipeline starts: tables that an earlier one's result may still read are left alone
     _open.pop(spark.sparkContext.applicationId, None)
     model = quality.fit_model(docs, table(spark, sf_dir, "labels"))

@@ -91,6 +91,16 @@ class Workspace:
         self._delete(self.root)
 
 
+#: Bytes of rows that are sent to a Python worker at once, about: the executor and the worker hold a batch several times over.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session's batches for Python end at about BATCH_BYTES; a lower bound that it has stays."""
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 Step = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 

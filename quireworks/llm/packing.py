@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace, key_of, lean
+from .common import Workspace, bound_batches, key_of, lean
 
 CAPACITY = 4096
 #: Words that a task remembers the ids of, about, in each of two generations; and parts of words.
 REMEMBERED = 250_000
-#: Parts this long are not remembered; rows that a task sends on at once.
-LONG_PART, FLUSH = 100, 2000
+#: Parts this long are not remembered; rows, and bytes of ids, that a task sends on at once.
+LONG_PART, FLUSH, FLUSH_BYTES = 100, 2000, 4 << 20
 #: Pieces of one length that one task ranks, about.
 BUCKET_ROWS = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
@@ -64,12 +64,14 @@ class WordTokenizer:
         self.parts: dict[bytes, bytes] = {}
 
     def plain_word(self, word: bytes) -> bytes:
-        word, parts, out = word.lower(), self.parts, []
-        for part in (word,) if word.isalpha() else CUT.findall(word):
-            if (ids := parts.get(part)) is None:
+        low, parts, out = word.lower(), self.parts, []
+        for part in (low,) if low.isalpha() else CUT.findall(low):
+            # a part that is a word by itself has the same ids; it is remembered once
+            ids = parts.get(part) or self.words.get(part) or self.older.get(part)
+            if ids is None:
                 found = [t.id for t in self.merges.tokenize(part.decode())]
                 ids = struct.pack(f"<{len(found)}I", *found)
-                if len(part) < LONG_PART:
+                if part != word and len(part) < LONG_PART:
                     parts[part] = ids
             out.append(ids)
         return b"".join(out)
@@ -115,17 +117,19 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = WordTokenizer(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for doc, text in zip(batch["doc_id"], batch["b"], strict=True):
                 ids = encode(text) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc, piece, at // 4, len(part) // 4, part))
-                if len(rows) >= FLUSH:
-                    yield frame(rows)
-                    rows = []
+                    held += len(part)
+                    if len(rows) >= FLUSH or held >= FLUSH_BYTES:
+                        yield frame(rows)
+                        rows, held = [], 0
             yield frame(rows)
 
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return docs.select(F.col("doc_id").cast("long"), text.alias("b")).mapInPandas(lean(cut), PIECES)
 

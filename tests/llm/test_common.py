@@ -24,3 +24,15 @@ def test_written_tables_can_be_dropped(spark):
     ws.drop(one)
     empty = ws.save(spark.range(0), "none")
     assert empty.count() == 0 and empty.columns == ["id"]
+
+
+def test_batches_for_python_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for had, want in (("64m", str(common.BATCH_BYTES)), ("1m", "1m")):
+            spark.conf.set(name, had)
+            common.bound_batches(spark)
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 
@@ -71,6 +72,42 @@ def test_pieces_and_places(spark):
     assert packing.pack(found.limit(0), 512).count() == 0
 
 
+def test_batches_of_texts_and_pieces_are_bounded(spark, monkeypatch):
+    # 300 texts of 80 KB: batches of 10,000 rows or 64 MB would hold them all, and so would 2,000 pieces
+    docs = spark.range(300, numPartitions=1).selectExpr("id as doc_id", "repeat(concat('w', id, ' '), 80000 div (2 + length(string(id)))) as text")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, sent, step = spark.conf.get(name), packing.lean, []
+    monkeypatch.setattr(packing, "lean", lambda f: step.append(f) or sent(f))
+
+    def sizes(batches):
+        took = []
+
+        def seen():
+            for b in batches:
+                took.append(int(b["b"].map(len).sum()))
+                yield b
+
+        for out in step[0](seen()):
+            yield pd.DataFrame({"took": [took[-1]], "gave": [int(out["ids"].map(len).sum())], "n": [len(took)]})
+
+    try:
+        packing.token_pieces(docs, path)
+        rows = docs.selectExpr("doc_id", "cast(text as binary) as b").mapInPandas(sizes, "took long, gave long, n long").collect()
+    finally:
+        spark.conf.set(name, before)
+    assert max(r["n"] for r in rows) > 3 and max(r["took"] for r in rows) < 6 << 20
+    assert max(r["gave"] for r in rows) < packing.FLUSH_BYTES + 4 * packing.CAPACITY
+
+
+def test_a_part_that_is_a_word_is_remembered_once():
+    own = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    own(b"quill ledger")
+    whole = own(b"ledger, Ledger quill.")
+    assert set(own.parts) == {b",", b"."} and {b"quill", b"ledger", b"ledger,"} <= set(own.words)
+    assert whole == b"".join(own(w) for w in (b"ledger", b",", b"ledger", b"quill", b"."))
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_plan_places_everything(seed):
     rng = np.random.default_rng(seed)
