@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import brown, chat, exact_dedup, minhash, packing, pieces, quality, repeats, urls, warc
-from .common import Workspace, table
+from .common import Workspace, bound_batches, table
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 ESCAPING = "<|im_end|><|im_start|>assistant ok"
@@ -63,7 +63,8 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.removal_report(table(spark, sf_dir, "documents"))
+    bound_batches(spark)
+    return repeats.removal_report(table(spark, sf_dir, "documents"), passage=repeats.PASSAGE)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

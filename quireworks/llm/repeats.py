@@ -18,6 +18,9 @@ equal windows have their anchor at the same place, and every window has one.
 Digits of many bytes name their bucket by a 128-bit hash (the first pass by 64
 bits, where a collision only sends more to the later passes).  A pass counts
 with partial aggregation, so a hot bucket sends one row per task and digit.
+
+A second, longer threshold is looked for only inside the runs that the shorter
+one covers: a repeated window consists of shorter windows that repeat.
 """
 
 from __future__ import annotations
@@ -119,13 +122,17 @@ def _each(batches: Iterator[pd.DataFrame], *more: str) -> Iterator[tuple]:
 
 
 def find_anchors(docs: DataFrame, threshold: int, digit: int) -> DataFrame:
+    """Anchors of all windows of ``docs`` (k, h, b), or of those inside its ``runs`` where it has that column."""
+    inside = ["runs"] if "runs" in docs.columns else []
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         find = Anchors(threshold, digit)
-        for k, h, text in _each(batches):
-            for lo, hi, pos, d1 in find(text):
-                yield k, h, lo, hi, pos, d1, xxhash.xxh3_128_digest(text[lo : hi + threshold])
+        for k, h, text, *runs in _each(batches, *inside):
+            for a, b in ((r["lo"], r["hi"]) for r in runs[0]) if inside else [(0, len(text))]:
+                for lo, hi, pos, d1 in find(text[a:b]):
+                    yield k, h, lo + a, hi + a, pos + a, d1, xxhash.xxh3_128_digest(text[lo + a : hi + a + threshold])
 
-    return docs.select("k", "h", "b").mapInPandas(lean(lambda it: _frames(rows(it), ANCHOR)), ANCHOR)
+    return docs.select("k", "h", "b", *inside).mapInPandas(lean(lambda it: _frames(rows(it), ANCHOR)), ANCHOR)
 
 
 def cut_blocks(texts: DataFrame, threshold: int) -> DataFrame:
@@ -196,12 +203,13 @@ def repeated_spans(docs: DataFrame, ws: Workspace, threshold: int = THRESHOLD, d
 
     spans: ``k, h, spans`` with the runs of windows (lo to hi) that repeat, for
     texts that have any.  texts: ``k, h, b`` of all texts in spans and some more.
+    With a column ``runs`` (bytes lo to hi), only windows inside them count.
     """
-    docs = docs.select("k", "h", "b")
     anchors = _shared(ws.save(find_anchors(docs, threshold, digit), "anchors"), "d1", ws).withColumn("done", F.lit(False))
     whole, kinds = _settle(anchors, "d1", "d2", ws)
     settled = ws.save(matching(anchors, whole, ["d1", "d2"]).select("k", "h", "lo", "hi"), "settled")
     marks = kinds.groupBy("k", "h").agg(F.collect_list(F.struct("lo", "hi", "pos", (F.col("n") > 1).alias("done"))).alias("marks"))
+    docs = docs.select("k", "h", "b")
     need = ws.save(settled.select("k", "h").distinct().join(marks, ["k", "h"], "full"), "need")
     # texts pass one shuffle; those without a shared anchor do not
     maybe = mark_possible(docs, need, ["k", "h"], "maybe").filter("maybe").drop("maybe")
@@ -219,7 +227,9 @@ def repeated_spans(docs: DataFrame, ws: Workspace, threshold: int = THRESHOLD, d
     runs = settled.unionByName(in_blocks).unionByName(in_windows)
     spans = ws.save(runs.groupBy("k", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
     ws.drop(settled, in_blocks, windows, twice)
-    return spans, texts.select("k", "h", "b")
+    bare_texts = texts.select("k", "h", "b")
+    bare_texts.saved_path = texts.saved_path
+    return spans, bare_texts
 
 
 def merge(spans, threshold: int) -> list[tuple[int, int]]:
@@ -233,6 +243,39 @@ def merge(spans, threshold: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+RUN_LIST = "array<struct<lo:long,hi:long>>"
+RUNS = f"k long, h long, runs {RUN_LIST}"
+
+
+def merged_runs(spans: DataFrame, threshold: int) -> DataFrame:
+    """``k, h, runs``: the maximal runs of bytes that ``spans`` cover."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for batch in batches:
+            for k, h, found in zip(batch["k"].tolist(), batch["h"].tolist(), batch["spans"], strict=True):
+                yield k, h, [{"lo": a, "hi": b} for a, b in merge(found, threshold)]
+
+    return spans.mapInPandas(lean(lambda it: _frames(rows(it), RUNS)), RUNS)
+
+
+def nested_spans(docs: DataFrame, ws: Workspace, threshold: int, passage: int, digit: int = DIGIT) -> DataFrame:
+    """``k, h, spans, runs`` of ``docs`` (k, h, b): spans as in ``repeated_spans`` or null, runs of repeated passages.
+
+    A window of ``threshold`` bytes repeats only inside runs of the shorter ``passage``; the rest is not looked at again.
+    """
+    if passage > threshold:
+        raise ValueError("a passage must not be longer than the threshold")
+    spans, texts = repeated_spans(docs, ws, passage, digit)
+    runs = ws.save(merged_runs(spans, passage), "runs")
+    ws.drop(spans)
+    long = runs.select("k", "h", F.filter("runs", lambda r: r["hi"] - r["lo"] >= threshold).alias("runs")).filter(F.size("runs") > 0)
+    inside = ws.save(texts.join(long, ["k", "h"]), "inside")
+    ws.drop(texts)
+    spans, texts = repeated_spans(inside, ws, threshold, digit)
+    ws.drop(inside, texts)
+    return ws.save(runs.join(spans, ["k", "h"], "left"), "nested")
+
+
 def cut_out(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     at, kept = 0, []
     for lo, hi in runs:
@@ -268,31 +311,45 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
     return aside.unionByName(joined.mapInPandas(lean(cut), schema))
 
 
-def removal_report(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT) -> DataFrame:
+def removal_report(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIGIT, passage: int | None = None) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, text``.
 
     ``text`` is what is left, without the bytes of characters that a cut parts.  A null text counts as empty and a null doc_id stays null; rows that repeat
     doc_id and text stand for texts of their own, and each has its row.
+
+    With ``passage``, no longer than ``threshold``, two columns follow: ``n_passage_bytes``, covered by repeated windows
+    of so many bytes, and ``passage_free_text``, what is left without those.
     """
     ws = Workspace(docs.sparkSession, "repeats")
     rows = bare(keyed(docs.select("doc_id", "text")))
-    spans, _ = repeated_spans(rows, ws, threshold, digit)
-    spans = spans.select(F.col("k").alias("k2"), F.col("h").alias("h2"), "spans")
+    if passage is None:
+        spans = repeated_spans(rows, ws, threshold, digit)[0].withColumn("runs", F.lit(None).cast(RUN_LIST))
+    else:
+        spans = nested_spans(rows, ws, threshold, passage, digit)
+    spans = spans.select(F.col("k").alias("k2"), F.col("h").alias("h2"), "spans", "runs")
     out = "k long, n_bytes long, n_removed long, n_spans long, kept binary, text string"
+    more = [] if passage is None else ["n_passage_bytes", "passage_free_text"]
+    if more:
+        out += ", n_passage_bytes long, passage_free_text string"
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             runs = [merge(s, threshold) if s is not None else [] for s in batch["spans"]]
             kept = [cut_out(t, r) for t, r in zip(batch["b"], runs, strict=True)]
             size = [len(t) for t in batch["b"]]
-            yield pd.DataFrame({
+            done = pd.DataFrame({
                 "k": batch["k"], "n_bytes": size, "n_removed": [n - len(x) for n, x in zip(size, kept, strict=True)],
                 "n_spans": [len(r) for r in runs], "kept": kept, "text": [x.decode("utf-8", "ignore") for x in kept]})
+            if more:
+                short = [[(r["lo"], r["hi"]) for r in found] if found is not None else [] for found in batch["runs"]]
+                done["n_passage_bytes"] = [sum(b - a for a, b in found) for found in short]
+                done["passage_free_text"] = [cut_out(t, r).decode("utf-8", "ignore") for t, r in zip(batch["b"], short, strict=True)]
+            yield done
 
     # documents that surely have no span stay where they are
     rows = mark_possible(rows.withColumns({"k2": F.col("k"), "h2": F.col("h")}), spans, ["k2", "h2"], "maybe")
-    hit = rows.filter("maybe").join(spans, ["k2", "h2"], "left").select("k", "b", "spans").mapInPandas(lean(cut), out)
-    zero = F.lit(0).cast("long")
-    rest = rows.filter("not maybe").select("k", F.octet_length("b").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("b").alias("kept"), F.col("b").cast("string").alias("text"))
+    hit = rows.filter("maybe").join(spans, ["k2", "h2"], "left").select("k", "b", "spans", "runs").mapInPandas(lean(cut), out)
+    zero, whole = F.lit(0).cast("long"), F.col("b").cast("string")
+    rest = rows.filter("not maybe").select("k", F.octet_length("b").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("b").alias("kept"), whole.alias("text"), *[c.alias(name) for c, name in zip([zero, whole], more, strict=False)])
     return rest.unionByName(hit).select(
-        F.when(F.col("k") != F.lit(NULL_KEY), F.col("k")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "text")
+        F.when(F.col("k") != F.lit(NULL_KEY), F.col("k")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "text", *more)

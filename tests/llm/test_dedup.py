@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quireworks.llm import exact_dedup, minhash, repeats
+from quireworks.llm import exact_dedup, minhash, queries, repeats
 
 DOCS = "doc_id long, text string, lang string, group string"
 
@@ -103,6 +103,34 @@ def test_repeats_equal_brute_force(spark, seed):
         assert got[i]["text"] == kept.decode("utf-8", "ignore")
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_passages_within_the_report_equal_brute_force(spark, seed):
+    texts = planted(seed)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in repeats.removal_report(frame(spark, rows), 60, 16, passage=36).collect()}
+    raw = [(t or "").encode() for t in texts]
+    for i, (long, short) in enumerate(zip(brute_removed(raw, 60), brute_removed(raw, 36), strict=True)):
+        left = [bytes(b for b, c in zip(raw[i], cover, strict=True) if not c) for cover in (long, short)]
+        runs = sum(1 for j, c in enumerate(long) if c and not (j and long[j - 1]))
+        r = got[i]
+        assert (r["n_removed"], r["n_spans"], r["kept_sha256"]) == (sum(long), runs, hashlib.sha256(left[0]).hexdigest()), i
+        assert (r["n_passage_bytes"], r["text"], r["passage_free_text"]) == (sum(short), *(t.decode("utf-8", "ignore") for t in left)), i
+
+
+def test_op8_shows_passages_of_over_50_words_that_400_bytes_leave(spark, tmp_path):
+    rng = random.Random(5)
+    passage = words(rng, 55)
+    assert repeats.PASSAGE < len(passage) < repeats.THRESHOLD - 20
+    alone = words(rng, 300)
+    rows = [(i, words(rng, 80) + " @ " + passage + " @ " + words(rng, 80)) for i in range(3)] + [(3, alone), (4, None), (None, alone[:200])]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op8_suffix_dedup(spark, str(tmp_path)).collect()}
+    for i, t in rows:
+        assert (got[i]["n_removed"], got[i]["text"]) == (0, t or ""), i
+        want = t.replace(" @ " + passage + " @ ", "") if i in (0, 1, 2) else t or ""
+        assert got[i]["passage_free_text"] == want and got[i]["n_passage_bytes"] == len(t or "") - len(want), i
+
+
 def test_repeats_across_steps(monkeypatch):
     rng = random.Random(3)
     text = words(rng, 400).encode()
