@@ -12,13 +12,16 @@ of its length.
 from __future__ import annotations
 
 import bisect
+import codecs
 import re
-import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,11 +38,18 @@ BUCKET_ROWS = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
-#: The pattern by which the vocabulary cuts words of ASCII characters (a fixed format).
-CUT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Printable ASCII characters; words of these and of the letters of Latin-1 and Latin Extended-A, as UTF-8.  None of these
+#: is a mark or composes with another, and each has one lower-case letter: U+00D7, U+00F7 and U+0130 are left out.
+PRINTABLE = bytes(range(0x21, 0x7F))
+LATIN = re.compile(rb"(?:[!-~]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])++").fullmatch
 
-#: Words of printable ASCII characters alone.
-PLAIN = re.compile(rb"[!-~]+").fullmatch
+#: The pattern by which the vocabulary cuts such words in lower case (a fixed format); bytes from 0x80 are letters' there.
+CUT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+")
+
+_ITSELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_HIDDEN = [b for b in range(256) if b not in _ITSELF]
+#: The character that stands for each byte in the vocabulary (a fixed format); the space parts words.
+SHOWN = "".join(" " if b == 0x20 else chr(b if b in _ITSELF else 0x100 + _HIDDEN.index(b)) for b in range(256))
 
 
 class WordTokenizer:
@@ -47,34 +57,56 @@ class WordTokenizer:
 
     Texts are cut at ASCII white space, which the vocabulary's normaliser drops
     and which no piece and no special string crosses.  The library encodes each
-    distinct word while it is remembered, many in one call.  Words of printable
-    ASCII characters without ``<|``, where no special string can begin, skip its
-    normaliser: they are lower-cased, cut by CUT, and the library's merges run
-    on each distinct part.
+    distinct word while it is remembered, those of a batch of texts in one call.
+    Words of printable ASCII characters and Latin letters without ``<|``, where
+    no special string can begin, skip its normaliser: they are lower-cased, cut
+    by CUT, and the library's merges run on each distinct part.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.library = Tokenizer.from_file(path)
-        self.merges = self.library.model
+        self.merges = Tokenizer(self.library.model)
+        self.merges.pre_tokenizer = CharDelimiterSplit(" ")
+        vocabulary = self.library.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a part
+        self.last[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         # words met since the last turn, and those of the generation before
         self.words: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
 
-    def plain_word(self, word: bytes) -> bytes:
-        low, parts, out = word.lower(), self.parts, []
-        for part in (low,) if low.isalpha() else CUT.findall(low):
-            # a part that is a word by itself has the same ids; it is remembered once
-            ids = parts.get(part) or self.words.get(part) or self.older.get(part)
-            if ids is None:
-                found = [t.id for t in self.merges.tokenize(part.decode())]
-                ids = struct.pack(f"<{len(found)}I", *found)
-                if part != word and len(part) < LONG_PART:
-                    parts[part] = ids
-            out.append(ids)
-        return b"".join(out)
+    def new_parts(self, parts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Parts with their ids, by one call; a part's ids end with the first that ends one."""
+        shown = codecs.charmap_decode(b" ".join(parts), "strict", SHOWN)[0]
+        ids = np.asarray(self.merges.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+        ids = ids.tobytes()
+        return ((p, ids[x:y]) for p, x, y in zip(parts, [0, *ends[:-1]], ends, strict=True))
+
+    def plain_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        whole, cut = {}, {}
+        for word, low in zip(words, b" ".join(words).decode().lower().encode().split(b" "), strict=True):
+            if low.isalpha():
+                whole[word] = low
+            else:
+                cut[word] = CUT.findall(low)
+        # a part that is a word by itself has the same ids; it is remembered once
+        parts, own, known, new = self.parts, set(words), {}, []
+        for part in {*whole.values(), *chain.from_iterable(cut.values())}:
+            if ids := parts.get(part) or self.words.get(part) or self.older.get(part):
+                known[part] = ids
+            else:
+                new.append(part)
+        if new:
+            known.update(self.new_parts(new))
+            parts.update((p, known[p]) for p in new if p not in own and len(p) < LONG_PART)
+        out = {w: known[p] for w, p in whole.items()}
+        for w, found in cut.items():
+            out[w] = b"".join([known[p] for p in found])
+        return out
 
     def other_words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Words with their ids, by one call; an id belongs to the word that its offset lies in."""
@@ -85,23 +117,47 @@ class WordTokenizer:
         cut = (4 * np.searchsorted(np.asarray([at for at, _ in found.offsets], np.int64), starts)).tolist()
         return ((w, ids[x:y]) for w, x, y in zip(words, cut[:-1], cut[1:], strict=True))
 
-    def __call__(self, text: bytes) -> bytes:
-        found = text.split()
+    def ids_of(self, found: list[bytes]) -> list[bytes]:
+        """Ids of distinct words."""
         if len(self.words) > REMEMBERED:
             self.words, self.older = {}, self.words
         if len(self.parts) > REMEMBERED:
             self.parts = {}
-        words, older, other = self.words, self.older, []
-        for w in set(found).difference(words):
+        words, older, new, plain, other = self.words, self.older, {}, [], []
+        out = list(map(words.get, found))
+        missed = [i for i, ids in enumerate(out) if ids is None]
+        for w in map(found.__getitem__, missed):
             if (ids := older.get(w)) is not None:
-                words[w] = ids
-            elif PLAIN(w) and b"<|" not in w:
-                words[w] = self.plain_word(w)
+                new[w] = ids
+            elif (not w.translate(None, PRINTABLE) or LATIN(w)) and b"<|" not in w:
+                plain.append(w)
             else:
                 other.append(w)
+        if plain:
+            new.update(self.plain_words(plain))
         if other:
-            words.update(self.other_words(other))
-        return b"".join([words[w] for w in found])
+            new.update(self.other_words(other))
+        for i in missed:
+            out[i] = new[found[i]]
+        words.update(new)
+        return out
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Ids of each text; the distinct words of all texts are told apart outside Python and looked up once."""
+        if not texts:
+            return
+        cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        found = cut.values.view(pa.large_binary()).dictionary_encode()
+        ids = self.ids_of(found.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids = pa.array(ids, pa.large_binary()).take(found.indices)
+        _, ends, whole = ids.buffers()
+        ends = np.frombuffer(ends, np.int64, len(ids) + 1)[cut.offsets.to_numpy()].tolist()
+        whole = memoryview(whole or b"")
+        for x, y in zip(ends[:-1], ends[1:], strict=True):
+            yield bytes(whole[x:y])
+
+    def __call__(self, text: bytes) -> bytes:
+        return next(self.encode([text]))
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
@@ -115,11 +171,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity
         return pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"]).astype({"doc_id": "Int64"})
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = WordTokenizer(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
+        encode, end = WordTokenizer(tokenizer_path).encode, np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             rows, held = [], 0
-            for doc, text in zip(batch["doc_id"], batch["b"], strict=True):
-                ids = encode(text) + end
+            for doc, ids in zip(batch["doc_id"], encode(batch["b"].tolist()), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc, piece, at // 4, len(part) // 4, part))

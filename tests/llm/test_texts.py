@@ -108,6 +108,33 @@ def test_a_part_that_is_a_word_is_remembered_once():
     assert whole == b"".join(own(w) for w in (b"ledger", b",", b"ledger", b"quill", b"."))
 
 
+def test_a_batch_of_texts_is_encoded_by_one_call():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, own, calls = Tokenizer.from_file(path), packing.WordTokenizer(path), []
+
+    class Counted:
+        def __init__(self, name, of):
+            self.name, self.of = name, of
+
+        def __getattr__(self, name):
+            return lambda seen, **more: calls.append((self.name, seen)) or getattr(self.of, name)(seen, **more)
+
+    own.library, own.merges = Counted("library", own.library), Counted("merges", own.merges)
+    texts = ["Le CAFÉ, déjà vu.", "", "café naïve 日本 it's", " \n\t", "vu\x0bdéjà\x0cŒuvre ŁÓDŹ l'été 3½"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode([t.encode() for t in texts])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    # words of Latin letters are no matter of the normaliser; each part goes to the library once
+    (first, parts), (second, rest) = calls
+    assert (first, second) == ("merges", "library") and len(parts[0].split(" ")) == len(set(parts[0].split(" ")))
+    assert sorted(rest.split(" ")) == ["3½", "日本"]
+    calls.clear()
+    assert list(own.encode([])) == [] and list(own.encode([t.encode() for t in texts[::-1]])) and not calls
+    rng, letters = random.Random(3), [*map(chr, range(0xC0, 0x180)), "a", "S", "'", "'s", "'ll", ".", "7", " ", "\u0301", "\x1f", "\u0085", "<|", "</w>"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode([t.encode() for t in texts])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_plan_places_everything(seed):
     rng = np.random.default_rng(seed)
